@@ -50,7 +50,7 @@ _C_LIKE = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\
 _PY_LIKE = re.compile(r'#[^\n]*|"""(?:[^"\\]|\\.|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*+\'\'\'|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'', re.S)
 _BOTH = re.compile(r'//[^\n]*|#[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'', re.S)
 _STRIP = {"cpp": _C_LIKE, "python": _PY_LIKE, "fcl": _BOTH, "jsonnet": _BOTH}
-_WORD = re.compile(r"[A-Za-z_]\w*")
+_WORD = re.compile(r"(?<![\w.])[A-Za-z_]\w*")
 _NUMBER = re.compile(r"(?<![\w.])[+-]?\.?\d[\w.]*(?:(?<=[eE])[+-]\d+)?")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
 _DIGITS = re.compile(r"\d+")
