@@ -173,6 +173,8 @@ _EDGES = [*_SIGNS, "shape", "given", "family"]
 _FEATURES = ["hint", "seed", "shape", *_SIGNS, "given", "family", "reversed"]
 #: How much an instance that is not yet known to be right counts against its pattern.
 DOUBT = 0.15
+#: What a known given name says by itself, before a family name never seen: not enough without a context.
+GIVEN_ALONE = 0.45
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -181,7 +183,14 @@ def scored(found: DataFrame) -> DataFrame:
         found.where("hint in ('number', 'name')").groupBy(*_FEATURES).agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64(*_FEATURES))
     )
     sign = F.explode(F.map_from_arrays(F.array(*[F.lit(e) for e in _EDGES]), F.array(*[F.col(e) for e in _EDGES])))
-    edges = checkpointed(rows.select("key", "hint", "n", sign.alias("sign", "pattern")).where("pattern is not null and pattern <> ''"))
+    # each part of a double family name is known by itself
+    part = F.explode(F.array_distinct(F.split("family", "-")))
+    edges = checkpointed(
+        rows.select("key", "hint", "n", sign.alias("sign", "pattern"))
+        .unionByName(rows.where("family is not null").select("key", "hint", "n", F.lit("family").alias("sign"), part.alias("pattern")))
+        .where("pattern is not null and pattern <> ''")
+        .distinct()
+    )
     labelled = rows.select(
         "key", "hint", "seed",
         F.when(F.col("seed").isin("name", "phone"), 1.0).otherwise(0.0).alias("first"),
@@ -203,7 +212,8 @@ def scored(found: DataFrame) -> DataFrame:
             miss = F.lit(1.0)
             for e, w in _SIGNS.items():
                 miss = miss * (1 - w * F.col(f"{e}_{c}"))
-            return 1 - miss * (1 - F.sqrt(F.col(f"given_{c}") * F.col(f"family_{c}")))
+            known = F.sqrt(F.col(f"given_{c}") * F.col(f"family_{c}"))
+            return 1 - miss * (1 - F.greatest(known, GIVEN_ALONE * F.col(f"given_{c}")))
 
         new = labelled.join(each, "key", "left")
         # a number of a shape that is never of the kind is damped
