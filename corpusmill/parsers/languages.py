@@ -8,10 +8,10 @@ import warnings
 
 from corpusmill.parsers import cpp, fhicl, jsonnet
 
-#: Extension -> language; other extensions are taken as C++ where a caller says so.
+#: Extension -> language, case-sensitive.
 EXTENSIONS = {
-    ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".c": "cpp", ".C": "cpp", ".h": "cpp", ".hh": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".icc": "cpp", ".tcc": "cpp",
-    ".fcl": "fcl", ".py": "python", ".jsonnet": "jsonnet",
+    ".C": "cpp", ".cc": "cpp", ".cxx": "cpp", ".cpp": "cpp", ".c++": "cpp", ".H": "cpp", ".h": "cpp", ".hh": "cpp", ".hxx": "cpp", ".hpp": "cpp", ".tcc": "cpp",
+    ".py": "python", ".jsonnet": "jsonnet", ".fcl": "fcl",
 }
 LANGUAGES = ("cpp", "fcl", "python", "jsonnet")
 #: The symbol of a row that holds a complete file.

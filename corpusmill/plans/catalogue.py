@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import references
+from corpusmill.plans import references, search
 
-MODULES = [references]
+MODULES = [references, search]
 
 
 def queries() -> dict:
