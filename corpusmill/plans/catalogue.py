@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import references, search
+from corpusmill.plans import chat, corpus, evals, references, search
 
-MODULES = [references, search]
+MODULES = [references, corpus, search, evals, chat]
 
 
 def queries() -> dict:
