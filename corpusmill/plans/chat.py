@@ -47,7 +47,7 @@ ORACLE = {
 select turn, coalesce(array_to_string(list_transform(ns, lambda x: {_R}[x]), ','), '') reasons from n""",
     # a chunk is carried from the first turn that brings it, in order, until twelve are full
     "carry_forward": f"""with {_T}, f as (select conv, turn, unnest([event_type, k]) c, unnest([1, 2]) o from t where event_type <> 'error'),
-firsts as (select conv, c, min({'t': turn, 'o': o}) ao from f where c is not null group by 1, 2),
+firsts as (select conv, c, min(struct_pack(t := turn, o := o)) ao from f where c is not null group by 1, 2),
 slot as (select *, row_number() over (partition by conv order by ao) n from firsts qualify n <= 12)
 select t.conv, t.turn, coalesce(string_agg(c, ',' order by n), '') chunks from t left join slot s on s.conv = t.conv and s.ao.t <= t.turn group by 1, 2""",
 }
