@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusmill.functions.text import tokens
 
@@ -46,7 +46,7 @@ def hash_vector(text: Column) -> Column:
 def embed(rows: DataFrame, text: str, backend: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> DataFrame:
     """Adds vector and error: batches go to the backend, a failed batch is tried text by text, a failed text is an error row."""
     columns = rows.columns
-    schema = rows.schema.add("vector", "array<float>").add("error", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

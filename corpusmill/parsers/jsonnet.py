@@ -261,16 +261,18 @@ class Parser:
             self.i += 1
         self.want(")")
 
+    def bind(self):
+        self.name()
+        if self.t[self.i] == "(":
+            self.params()
+        self.want("=")
+        self.expr()
+
     def binds(self):
-        while True:
-            self.name()
-            if self.t[self.i] == "(":
-                self.params()
-            self.want("=")
-            self.expr()
-            if self.t[self.i] != ",":
-                return
+        self.bind()
+        while self.t[self.i] == ",":
             self.i += 1
+            self.bind()
 
     def assertion(self):
         self.i += 1
@@ -310,11 +312,7 @@ class Parser:
         while t[self.i] != "}":
             if t[self.i] == "local":
                 self.i += 1
-                self.name()
-                if t[self.i] == "(":
-                    self.params()
-                self.want("=")
-                self.expr()
+                self.bind()
             elif t[self.i] == "assert":
                 self.assertion()
             else:
@@ -471,7 +469,7 @@ def definitions(text: str) -> list[dict]:
                 if p.t[p.i] in ("local", "assert"):
                     if p.t[p.i] == "local":
                         p.i += 1
-                        p.binds()
+                        p.bind()
                     else:
                         p.assertion()
                 else:

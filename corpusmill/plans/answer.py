@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusmill.functions.text import snippet
 
@@ -44,7 +44,7 @@ def prompts(hits: DataFrame, questions: DataFrame, history: str | None = None, s
 
 def generate(rows: DataFrame, generator: Callable[[list[dict]], str]) -> DataFrame:
     """Adds answer and error; each failure stays in its row."""
-    schema = rows.schema.add("answer", "string").add("error", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
