@@ -123,7 +123,7 @@ def file_statistics(chunks: DataFrame) -> DataFrame:
 
 
 #: White space share below which a file of long lines is squeezed, by language.
-SQUEEZED_SPACE = {"cpp": 0.12, "python": 0.08, "jsonnet": 0.08, "fcl": 0.10}
+SQUEEZED_SPACE = {"cpp": 0.12, "python": 0.08, "jsonnet": 0.08, "fcl": 0.065}
 #: Least code characters and separators of a squeezed file.
 SQUEEZED_CODE, SQUEEZED_SEPARATORS = 150, 6
 #: Least share of numeric literals among words, and least literals, of a data table.
