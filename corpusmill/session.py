@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side is broadcast only if it is known to have at most this many rows.
@@ -33,3 +37,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast if a (checkpointed) side has at most so many rows, else leaves a shuffle join."""
     few = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if few else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, for clusters where it is not installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusmill_shipped", None):
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(SparkFiles.getRootDirectory(), "corpusmill-package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(target)
+    sc._corpusmill_shipped = True
