@@ -164,11 +164,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
         demand = np.array([left[s] for s in sizes], float)
         solved = sorted(_weights(sizes, demand, capacity, STEPS), key=lambda x: -sum(sizes[j] * c for j, c in x[0].items()))
         before = sum(left.values())
+        full = max((sum(int(sizes[j]) * c for j, c in p.items()) for p, _ in solved), default=0)
         for pattern, uses in solved:
             items = {int(sizes[j]): c for j, c in pattern.items()}
             times = min([int(uses), *(left.get(s, 0) // c for s, c in items.items())])
             # only well filled patterns are taken at once; the rest is tried again
-            if times > 0 and sum(s * c for s, c in items.items()) >= 0.98 * capacity:
+            if times > 0 and sum(s * c for s, c in items.items()) >= 0.98 * full:
                 out[tuple(sorted(items.items()))] += times
                 for s, c in items.items():
                     left[s] -= times * c

@@ -173,6 +173,8 @@ _EDGES = [*_SIGNS, "shape", "given", "family"]
 _FEATURES = ["hint", "seed", "shape", *_SIGNS, "given", "family", "reversed"]
 #: How much an instance that is not yet known to be right counts against its pattern.
 DOUBT = 0.15
+#: What remains of a context's score for a number of a shape not yet seen as its kind.
+UNSEEN_SHAPE = 0.6
 #: What a known given name says by itself, before a family name never seen: not enough without a context.
 GIVEN_ALONE = 0.45
 
@@ -217,7 +219,7 @@ def scored(found: DataFrame) -> DataFrame:
 
         new = labelled.join(each, "key", "left")
         # a number of a shape that is never of the kind is damped
-        damp = {c: F.when(F.col("hint") == "number", F.least(F.lit(1.0), 0.25 + 3 * F.col(f"shape_{c}"))).otherwise(1.0) for c in ("pa", "pb")}
+        damp = {c: F.when(F.col("hint") == "number", F.least(F.lit(1.0), UNSEEN_SHAPE + 3 * F.col(f"shape_{c}"))).otherwise(1.0) for c in ("pa", "pb")}
         one = {c: F.coalesce(combined(c) * damp[c], F.lit(0.0)) for c in ("pa", "pb")}
         seeded = F.col("seed").isNotNull()
         scores = checkpointed(
