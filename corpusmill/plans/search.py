@@ -20,8 +20,8 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min(F.struct("text", "file", "symbol", "start_line", "end_line")).alias("c")).select("id", "c.*")
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    gold = table(spark, d, "gold").where(F.col("question").isNotNull() & (F.col("gold_id") % EVERY == 0))
+def questions(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
+    gold = table(spark, d, "gold").where(F.col("question").isNotNull() & (F.col("gold_id") % every == 0))
     return gold.groupBy("gold_id").agg(F.min("question").alias("question"))
 
 
@@ -29,8 +29,8 @@ def _text():
     return F.concat_ws(" ", F.col("text"), F.col("symbol"))
 
 
-def lexical(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    return bm25.search(corpus(spark, d), "id", _text(), questions(spark, d), "gold_id", "question", k)
+def lexical(spark: SparkSession, d: str, k: int = 20, every: int = EVERY) -> DataFrame:
+    return bm25.search(corpus(spark, d), "id", _text(), questions(spark, d, every), "gold_id", "question", k)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -52,24 +52,24 @@ def term_stats(spark: SparkSession, d: str) -> DataFrame:
     return bm25.idf(frequencies, bm25.statistics(lengths)).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-def dense_leg(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
+def dense_leg(spark: SparkSession, d: str, k: int = 20, every: int = EVERY) -> DataFrame:
     """(q, doc, rank, score) by the hashing embedder: a sparse product over the buckets the question has."""
     docs = hashed_features(corpus(spark, d).select("id", embed_input(F.col("text")).alias("t")), "id", F.col("t"))
-    asked = hashed_features(questions(spark, d), "gold_id", F.col("question")).withColumnRenamed("gold_id", "q").withColumnRenamed("w", "qw")
+    asked = hashed_features(questions(spark, d, every), "gold_id", F.col("question")).withColumnRenamed("gold_id", "q").withColumnRenamed("w", "qw")
     scored = docs.join(broadcast_if_small(asked), "bucket").groupBy("q", F.col("id").alias("doc")).agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
     return bm25.top(scored, k).select("q", "doc", "rank", "score")
 
 
-def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+def rrf_fusion(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     pool = lambda df: df.where(F.col("rank") <= fusion.POOL)
-    fused = fusion.fuse(pool(dense_leg(spark, d)), pool(lexical(spark, d)))
+    fused = fusion.fuse(pool(dense_leg(spark, d, every=every)), pool(lexical(spark, d, every=every)))
     return fused.select("q", "doc", F.round("score", 9).alias("score"), "dense_rank", "sparse_rank", "rank")
 
 
-def overlap_scores(ranked: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+def overlap_scores(ranked: DataFrame, spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """The default reranker: the share of the question's distinct words that the candidate's snippet has."""
     texts = corpus(spark, d).select(F.col("id").alias("doc"), F.array_distinct(tokens(snippet(F.col("text")))).alias("dt"))
-    asked = questions(spark, d).select(F.col("gold_id").alias("q"), F.array_distinct(tokens(F.col("question"))).alias("qt"))
+    asked = questions(spark, d, every).select(F.col("gold_id").alias("q"), F.array_distinct(tokens(F.col("question"))).alias("qt"))
     pairs = ranked.select("q", "doc").join(texts, "doc").join(F.broadcast(asked), "q")
     return pairs.select("q", "doc", F.round(F.try_divide(F.size(F.array_intersect("qt", "dt")), F.size("qt")), 9).alias("rerank_score"))
 
@@ -80,10 +80,10 @@ def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     return ranked.where("rank <= 10").select("q", "doc", "score", "rerank_score", "rank")
 
 
-def hybrid_search(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+def hybrid_search(spark: SparkSession, d: str, k: int = 10, every: int = EVERY) -> DataFrame:
     """Both legs, fusion, rerank, one row per file and symbol, the first k."""
-    fused = rrf_fusion(spark, d)
-    ranked = fusion.rerank(fused, overlap_scores(fused, spark, d)).select("q", "doc", "score", "rank")
+    fused = rrf_fusion(spark, d, every)
+    ranked = fusion.rerank(fused, overlap_scores(fused, spark, d, every)).select("q", "doc", "score", "rank")
     meta = corpus(spark, d).select(F.col("id").alias("doc"), "file", "symbol", "start_line", "end_line")
     return fusion.diverse(ranked, meta, k).select("q", F.col("final_rank").alias("rank"), "doc", "file", "symbol", "start_line", "end_line", "score")
 
