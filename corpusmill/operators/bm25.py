@@ -1,6 +1,7 @@
 """Okapi BM25 over an inverted index of plain tables.
 
-Defined results: null texts and questions have no terms; repeated question words
+Defined results: null texts and questions have no terms; a key with repeated rows
+is one document, with different texts the one of the smallest digest; repeated question words
 count repeatedly; only positive scores come out; ties go to the larger document
 key; scores are rounded to nine places before they are ranked.
 """
@@ -17,8 +18,18 @@ PLACES = 9
 
 
 def doc_tokens(docs: DataFrame, key: str, text) -> DataFrame:
-    """(doc, terms, dl): the token array and length of each document."""
-    return docs.select(F.col(key).alias("doc"), tokens(F.coalesce(text, F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
+    """(doc, code, terms, dl): the token array and length of each row; the code tells texts of one key apart."""
+    text = F.coalesce(text, F.lit(""))
+    return docs.select(F.col(key).alias("doc"), F.md5(text).alias("code"), tokens(text).alias("terms")).withColumn("dl", F.size("terms"))
+
+
+def chosen(lengths: DataFrame) -> DataFrame:
+    """(doc, code, copies, dl): one text of each document, the one of the smallest code, with the rows that repeat it.
+
+    Only digests and lengths are shuffled, never texts.
+    """
+    per = lengths.groupBy("doc", "code").agg(F.count(F.lit(1)).alias("copies"), F.min("dl").alias("dl"))
+    return per.groupBy("doc").agg(F.min(F.struct("code", "copies", "dl")).alias("c")).select("doc", "c.*")
 
 
 def statistics(lengths: DataFrame) -> DataFrame:
@@ -26,9 +37,17 @@ def statistics(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def postings(lengths: DataFrame) -> DataFrame:
-    """(doc, term, tf)"""
-    return lengths.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(lengths: DataFrame, picked: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, dl) of the chosen texts, of the wanted terms only if given.
+
+    Repeated rows have equal tokens, so a count over all of them is the term
+    frequency times the copies.
+    """
+    rows = lengths.select("doc", "code", F.explode("terms").alias("term"))
+    if wanted is not None:
+        rows = rows.join(F.broadcast(wanted), "term", "left_semi")
+    counted = rows.groupBy("doc", "code", "term").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(picked, ["doc", "code"]).select("doc", "term", F.expr("n div copies").alias("tf"), "dl")
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:
@@ -49,10 +68,9 @@ def question_terms(questions: DataFrame, key: str, text: str) -> DataFrame:
 
 def scores(lengths: DataFrame, terms: DataFrame) -> DataFrame:
     """(q, doc, score) of all matching pairs. Postings are cut to the questions' terms before anything is shuffled."""
-    wanted = terms.select("term").distinct()
-    hits = lengths.select("doc", "dl", F.explode("terms").alias("term")).join(F.broadcast(wanted), "term", "left_semi")
-    hits = hits.groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = statistics(lengths)
+    picked = chosen(lengths)
+    hits = postings(lengths, picked, terms.select("term").distinct())
+    stats = statistics(picked)
     weights = idf(document_frequencies(hits), stats).select("term", "idf").join(terms, "term")
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("m") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corpusmill.functions.hashing import corpus_digest, fingerprint, uuid5
 from corpusmill.functions.text import basename, extension, module, slug, symbol_of_id, without_mentions
 from corpusmill.operators import abtest, corpus
-from corpusmill.plans.search import CORPUS, _BM25, corpus as each_chunk, lexical, questions
+from corpusmill.plans.search import CORPUS, _BM25, catalogue as each_chunk, lexical, questions
 from corpusmill.schema import chunk_errors, chunk_id
 from corpusmill.sources.store import orphans as orphan_versions
 from corpusmill.sources.tables import table
@@ -238,7 +238,7 @@ from (values ('code__0a1b2c3d4e5f__1000', true), ('code__0a1b2c3d4e5f__9000_dead
 where not live and regexp_matches(name, '^code__[0-9a-f]{12}__[0-9]+(_[0-9a-f]{8})?$') and 10000 - cast(regexp_extract(name, '^code__[0-9a-f]{12}__([0-9]+)', 1) as bigint) >= 3600""",
     "slugify": "select c_custkey, coalesce(nullif(trim(regexp_replace(lower(trim(c_name)), '[^a-zA-Z0-9]+', '_', 'g'), '_'), ''), 'researcher') slug from customer",
     "strip_mentions": "select distinct doc_id, md5(trim(coalesce(text, ''), ' ')) question_md5 from documents",
-    "gold_modules": """with g as (select distinct gold_id, id from (select gold_id, unnest(relevant_chunk_ids) id from gold)), f as (select id, min({'text': text, 'file': file, 'symbol': symbol, 'start_line': start_line, 'end_line': end_line}).file file from chunks where id is not null and text is not null group by id)
+    "gold_modules": """with g as (select distinct gold_id, id from (select gold_id, unnest(relevant_chunk_ids) id from gold)), f as (select id, min({'code': md5(concat_ws(' ', text, symbol)), 'file': file, 'symbol': symbol, 'start_line': start_line, 'end_line': end_line}).file file from chunks where id is not null and text is not null group by id)
 select gold_id, string_agg(distinct m, ',' order by m) modules from (select gold_id, case when len(string_split(file, '/')) > 1 then string_split(file, '/')[2] else string_split(file, '/')[1] end m from g join f using (id)) group by gold_id""",
     "module_of_path": f"select distinct file, case when string_split(file, '/')[1] = 'dunwire' then {_SEG2} end as module, string_split(file, '/')[-1] base from chunks where file is not null",
     "symbol_from_id": "select distinct id, regexp_replace(substr(id, length(file) + 2), '_[^_]*$', '') symbol from chunks where id is not null and file is not null",

@@ -14,10 +14,27 @@ from corpusmill.sources.tables import table
 EVERY = 50
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Each chunk once: the row of an id with the smallest text, file and symbol."""
-    rows = table(spark, d, "chunks").where("id is not null and text is not null")
-    return rows.groupBy("id").agg(F.min(F.struct("text", "file", "symbol", "start_line", "end_line")).alias("c")).select("id", "c.*")
+def _text():
+    return F.concat_ws(" ", F.col("text"), F.col("symbol"))
+
+
+def rows_of(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of chunks with the code that tells texts of one id apart."""
+    return table(spark, d, "chunks").where("id is not null and text is not null").withColumn("code", F.md5(_text()))
+
+
+def catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """(id, code, file, symbol, start_line, end_line): each chunk once, without its text, by the smallest code."""
+    pick = F.min(F.struct("code", "file", "symbol", "start_line", "end_line")).alias("c")
+    return rows_of(spark, d).groupBy("id").agg(pick).select("id", "c.*")
+
+
+def texts_of(spark: SparkSession, d: str, ids: DataFrame) -> DataFrame:
+    """(id, file, symbol, start_line, end_line, text) of some ids; only their rows are shuffled."""
+    few = broadcast_if_small(ids.select("id").distinct())
+    rows = rows_of(spark, d).join(few, "id", "left_semi")
+    pick = F.min(F.struct("code", "file", "symbol", "start_line", "end_line", "text")).alias("c")
+    return rows.groupBy("id").agg(pick).select("id", "c.*")
 
 
 def questions(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
@@ -25,12 +42,8 @@ def questions(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     return gold.groupBy("gold_id").agg(F.min("question").alias("question"))
 
 
-def _text():
-    return F.concat_ws(" ", F.col("text"), F.col("symbol"))
-
-
 def lexical(spark: SparkSession, d: str, k: int = 20, every: int = EVERY) -> DataFrame:
-    return bm25.search(corpus(spark, d), "id", _text(), questions(spark, d, every), "gold_id", "question", k)
+    return bm25.search(rows_of(spark, d), "id", _text(), questions(spark, d, every), "gold_id", "question", k)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -42,19 +55,21 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_statistics(spark: SparkSession, d: str) -> DataFrame:
-    lengths = bm25.doc_tokens(table(spark, d, "documents"), "doc_id", F.col("text"))
-    return bm25.statistics(lengths).select("n", F.round("avgdl", 6).alias("avgdl"))
+    picked = bm25.chosen(bm25.doc_tokens(table(spark, d, "documents"), "doc_id", F.col("text")))
+    return bm25.statistics(picked).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
     lengths = bm25.doc_tokens(table(spark, d, "documents"), "doc_id", F.col("text"))
-    frequencies = bm25.document_frequencies(bm25.postings(lengths))
-    return bm25.idf(frequencies, bm25.statistics(lengths)).select("term", "df", F.round("idf", 9).alias("idf"))
+    picked = bm25.chosen(lengths)
+    frequencies = bm25.document_frequencies(bm25.postings(lengths, picked))
+    return bm25.idf(frequencies, bm25.statistics(picked)).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def dense_leg(spark: SparkSession, d: str, k: int = 20, every: int = EVERY) -> DataFrame:
     """(q, doc, rank, score) by the hashing embedder: a sparse product over the buckets the question has."""
-    docs = hashed_features(corpus(spark, d).select("id", embed_input(F.col("text")).alias("t")), "id", F.col("t"))
+    docs = hashed_features(rows_of(spark, d).select("id", "code", embed_input(F.col("text")).alias("t")), ["id", "code"], F.col("t"))
+    docs = docs.join(catalogue(spark, d).select("id", "code"), ["id", "code"])
     asked = hashed_features(questions(spark, d, every), "gold_id", F.col("question")).withColumnRenamed("gold_id", "q").withColumnRenamed("w", "qw")
     scored = docs.join(broadcast_if_small(asked), "bucket").groupBy("q", F.col("id").alias("doc")).agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
     return bm25.top(scored, k).select("q", "doc", "rank", "score")
@@ -68,7 +83,7 @@ def rrf_fusion(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
 
 def overlap_scores(ranked: DataFrame, spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     """The default reranker: the share of the question's distinct words that the candidate's snippet has."""
-    texts = corpus(spark, d).select(F.col("id").alias("doc"), F.array_distinct(tokens(snippet(F.col("text")))).alias("dt"))
+    texts = texts_of(spark, d, ranked.select(F.col("doc").alias("id"))).select(F.col("id").alias("doc"), F.array_distinct(tokens(snippet(F.col("text")))).alias("dt"))
     asked = questions(spark, d, every).select(F.col("gold_id").alias("q"), F.array_distinct(tokens(F.col("question"))).alias("qt"))
     pairs = ranked.select("q", "doc").join(texts, "doc").join(F.broadcast(asked), "q")
     return pairs.select("q", "doc", F.round(F.try_divide(F.size(F.array_intersect("qt", "dt")), F.size("qt")), 9).alias("rerank_score"))
@@ -84,13 +99,13 @@ def hybrid_search(spark: SparkSession, d: str, k: int = 10, every: int = EVERY)
     """Both legs, fusion, rerank, one row per file and symbol, the first k."""
     fused = rrf_fusion(spark, d, every)
     ranked = fusion.rerank(fused, overlap_scores(fused, spark, d, every)).select("q", "doc", "score", "rank")
-    meta = corpus(spark, d).select(F.col("id").alias("doc"), "file", "symbol", "start_line", "end_line")
+    meta = catalogue(spark, d).select(F.col("id").alias("doc"), "file", "symbol", "start_line", "end_line")
     return fusion.diverse(ranked, meta, k).select("q", F.col("final_rank").alias("rank"), "doc", "file", "symbol", "start_line", "end_line", "score")
 
 
 def dedup_file_symbol(spark: SparkSession, d: str) -> DataFrame:
     ranked = lexical(spark, d).select("q", "doc", "rank")
-    meta = corpus(spark, d).select(F.col("id").alias("doc"), "file", "symbol")
+    meta = catalogue(spark, d).select(F.col("id").alias("doc"), "file", "symbol")
     return fusion.diverse(ranked, meta, 10).select("q", "doc", "file", "symbol", "rank", "final_rank")
 
 
@@ -102,7 +117,8 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def context_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The prompt's context: a header and a fenced snippet for each hit, in rank order."""
-    hits = lexical(spark, d, 6).select("q", F.col("doc").alias("id"), "rank").join(corpus(spark, d), "id")
+    hits = lexical(spark, d, 6).select("q", F.col("doc").alias("id"), "rank")
+    hits = hits.join(texts_of(spark, d, hits), "id")
     block = F.concat(F.lit("### "), "file", F.lit(" L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(" ("), "symbol", F.lit(")\n```\n"), snippet(F.col("text")), F.lit("\n```"))
     line = F.concat(F.lit("  "), "file", F.lit(" L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(" ("), "symbol", F.lit(")"))
     # at most six rows per question
@@ -153,7 +169,7 @@ def tk(c: str) -> str:
 
 
 CORPUS = """corpus as (select id, c.text, c.file, c.symbol, c.start_line, c.end_line from
-  (select id, min({'text': text, 'file': file, 'symbol': symbol, 'start_line': start_line, 'end_line': end_line}) c from chunks where id is not null and text is not null group by id)),
+  (select id, min({'code': md5(concat_ws(' ', text, symbol)), 'file': file, 'symbol': symbol, 'start_line': start_line, 'end_line': end_line, 'text': text}) c from chunks where id is not null and text is not null group by id)),
 asked as (select gold_id, min(question) question from gold where question is not null and gold_id % 50 = 0 group by gold_id)"""
 _BM25 = f"""d as (select id, {tk("concat_ws(' ', text, symbol)")} ts from corpus),
 dl as (select id, len(ts) dl from d), st as (select count(*) n, avg(dl) avgdl from dl),
