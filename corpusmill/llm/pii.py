@@ -58,19 +58,24 @@ _ID_LABEL = re.compile(
     r"\b(?:passport|passeport|reisepass|pasaporte|identity card|id card|personalausweis|social security|ssn|social insurance|national insurance|tax id|driver'?s licen[cs]e|id number|id no)\b[ \t]*(?:number|no|nr|card|id|is|#|:|\.)*[ \t:.#]*$",
     re.I,
 )
-_CONTEXT = re.compile(r"[^\W\d_]+|\d+|\n|[^\w\s]")
+_CONTEXT = re.compile(r"\x02|[^\W\d_]+|\d+|\n|[^\w\s]")
+_MAYBE_EMAIL = re.compile(r"@|[(\[{<]at[)\]}>]|[ \t]AT[ \t]|[ \t\[(]dot[ \t\])]", re.I)
 _MONTHS = frozenset("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
 
 _COLUMNS = ("doc_id bigint, digest bigint, start int, stop int, hint string, found string, seed string, shape string, left_words string, left_caps string, "
             "right_words string, around string, given string, family string, reversed boolean")
 
 
+def _words(text: str) -> list[str]:
+    """Words, numbers, marks and line breaks; an email address is one word."""
+    if _MAYBE_EMAIL.search(text):
+        text = EMAIL.sub(" \x02 ", text.replace("\x02", " "))
+    return _CONTEXT.findall(text)
+
+
 def _context(text: str, start: int, end: int) -> tuple[str, str, str, str]:
     before, after = text[max(0, start - 90) : start], text[end : end + 90]
-    before = EMAIL.sub(" \x02 ", before.replace("\x02", " "))
-    after = EMAIL.sub(" \x02 ", after.replace("\x02", " "))
-    left = re.findall(r"\x02|[^\W\d_]+|\d+|\n|[^\w\s]", before)[-2:]
-    right = re.findall(r"\x02|[^\W\d_]+|\d+|\n|[^\w\s]", after)[:2]
+    left, right = _words(before)[-2:], _words(after)[:2]
 
     def plain(t: str) -> str:
         return "<email>" if t == "\x02" else "NL" if t == "\n" else "9" if t.isdigit() else t.casefold()
@@ -98,7 +103,7 @@ def candidates(text: str) -> list[tuple]:
     """(start, stop, hint, found, seed, shape, contexts, given, family, reversed) of all pieces of a fitting shape."""
     out: list[tuple] = []
     taken: list[tuple[int, int]] = []
-    for m in EMAIL.finditer(text):
+    for m in EMAIL.finditer(text) if _MAYBE_EMAIL.search(text) else ():
         if m.group().casefold().startswith("git@") or text[max(0, m.start() - 6) : m.start()].endswith(("ssh://", "git://")):
             continue
         out.append((m.start(), m.end(), "email", m.group(), "email", "", *_context(text, m.start(), m.end()), None, None, False))
