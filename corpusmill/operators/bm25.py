@@ -23,35 +23,35 @@ def doc_tokens(docs: DataFrame, key: str, text) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.md5(text).alias("code"), tokens(text).alias("terms")).withColumn("dl", F.size("terms"))
 
 
-def chosen(lengths: DataFrame) -> DataFrame:
-    """(doc, code, copies, dl): one text of each document, the one of the smallest code, with the rows that repeat it.
-
-    Only digests and lengths are shuffled, never texts.
-    """
-    per = lengths.groupBy("doc", "code").agg(F.count(F.lit(1)).alias("copies"), F.min("dl").alias("dl"))
-    return per.groupBy("doc").agg(F.min(F.struct("code", "copies", "dl")).alias("c")).select("doc", "c.*")
-
-
 def statistics(lengths: DataFrame) -> DataFrame:
     """One row: number of documents and mean length."""
     return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def postings(lengths: DataFrame, picked: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(doc, term, tf, dl) of the chosen texts, of the wanted terms only if given.
+def postings(lengths: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, dl) of the chosen text of each document, of the wanted terms only if given, in one pass.
 
-    Repeated rows have equal tokens, so a count over all of them is the term
-    frequency times the copies.
+    An empty term stands for each row itself, so that a document's texts, copies
+    and length come with its terms. Repeated rows have equal tokens: a count over
+    all of them is the term frequency times the copies. The rows with the empty
+    term are the documents.
     """
-    rows = lengths.select("doc", "code", F.explode("terms").alias("term"))
+    rows = lengths.select("doc", "code", "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
     if wanted is not None:
-        rows = rows.join(F.broadcast(wanted), "term", "left_semi")
-    counted = rows.groupBy("doc", "code", "term").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(picked, ["doc", "code"]).select("doc", "term", F.expr("n div copies").alias("tf"), "dl")
+        marked = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))
+        rows = rows.join(F.broadcast(marked), "term", "left_semi")
+    counted = rows.groupBy("doc", "code", "term").agg(F.count(F.lit(1)).alias("n"), F.min("dl").alias("dl"))
+    pick = F.min(F.when(F.col("term") == "", F.struct("code", "n", "dl"))).over(Window.partitionBy("doc"))
+    picked = counted.withColumn("_p", pick).where(F.col("code") == F.col("_p.code"))
+    return picked.select("doc", "term", F.expr("n div _p.n").alias("tf"), "dl")
+
+
+def documents_of(posts: DataFrame) -> DataFrame:
+    return posts.where("term = ''").select("doc", "dl")
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return posts.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
@@ -68,9 +68,8 @@ def question_terms(questions: DataFrame, key: str, text: str) -> DataFrame:
 
 def scores(lengths: DataFrame, terms: DataFrame) -> DataFrame:
     """(q, doc, score) of all matching pairs. Postings are cut to the questions' terms before anything is shuffled."""
-    picked = chosen(lengths)
-    hits = postings(lengths, picked, terms.select("term").distinct())
-    stats = statistics(picked)
+    posts = postings(lengths, terms.select("term").distinct())
+    hits, stats = posts.where("term <> ''"), statistics(documents_of(posts))
     weights = idf(document_frequencies(hits), stats).select("term", "idf").join(terms, "term")
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("m") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))

@@ -9,6 +9,7 @@ from corpusmill.functions.text import basename, extension, module, slug, symbol_
 from corpusmill.operators import abtest, corpus
 from corpusmill.plans.search import CORPUS, _BM25, catalogue as each_chunk, lexical, questions
 from corpusmill.schema import chunk_errors, chunk_id
+from corpusmill.session import checkpointed, spread
 from corpusmill.sources.store import orphans as orphan_versions
 from corpusmill.sources.tables import table
 
@@ -140,6 +141,7 @@ def _ab(s: SparkSession, d: str) -> DataFrame:
     gold = table(s, d, "gold").where(F.col("gold_id").isNotNull()).select(F.col("gold_id").alias("q"), F.explode("relevant_chunk_ids").alias("doc")).where("doc is not null").distinct()
     files = each_chunk(s, d).select(F.col("id").alias("doc"), "file", "symbol")
     hits = lexical(s, d, 20).select("q", "doc", "rank").join(files, "doc").withColumn("out", F.coalesce(second_part().isin(*MODULES), F.lit(False)))
+    hits = checkpointed(hits)  # at most twenty for each question
     relevant = hits.join(gold.withColumn("g", F.lit(True)), ["q", "doc"], "left").withColumn("g", F.coalesce("g", F.lit(False)))
     flags = relevant.groupBy("q").agg(F.max("g").alias("complete_hit"), F.max(F.col("g") & ~F.col("out")).alias("partial_hit"), F.array_join(F.array_sort(F.collect_set("file")), " ").alias("answer"))
     targets = gold.join(files, "doc").withColumn("out", F.coalesce(second_part().isin(*MODULES), F.lit(False)))
@@ -177,7 +179,7 @@ def latest_chunks(s: SparkSession, d: str) -> DataFrame:
 
 def parsed_chunks(s: SparkSession, d: str) -> DataFrame:
     """Every chunk's text chunked again as a file of its own: the four parsers over the whole table."""
-    rows = table(s, d, "chunks").where("file is not null and text is not null").select("file", "text").distinct()
+    rows = spread(table(s, d, "chunks").select("file", "text")).where("file is not null and text is not null").distinct()
     named = rows.select(F.concat(F.md5("text"), F.lit("/"), "file").alias("path"), "text")
     return corpus.extract(named).groupBy("language", "fallback").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file").alias("texts"))
 

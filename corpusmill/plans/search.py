@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusmill.functions.embed import hashed_features
 from corpusmill.functions.text import embed_input, line_count, snippet, tokens
 from corpusmill.operators import bm25, dense, fusion
-from corpusmill.session import broadcast_if_small
+from corpusmill.session import broadcast_if_small, checkpointed, spread
 from corpusmill.sources.tables import table
 
 #: A search takes every question whose id is divisible by this, against all rows.
@@ -20,7 +20,8 @@ def _text():
 
 def rows_of(spark: SparkSession, d: str) -> DataFrame:
     """The rows of chunks with the code that tells texts of one id apart."""
-    return table(spark, d, "chunks").where("id is not null and text is not null").withColumn("code", F.md5(_text()))
+    rows = table(spark, d, "chunks").select("id", "file", "symbol", "start_line", "end_line", "text")
+    return spread(rows).where("id is not null and text is not null").withColumn("code", F.md5(_text()))
 
 
 def catalogue(spark: SparkSession, d: str) -> DataFrame:
@@ -54,16 +55,18 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("n_tokens")).distinct()
 
 
+def _document_postings(spark: SparkSession, d: str) -> DataFrame:
+    return bm25.postings(bm25.doc_tokens(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", F.col("text")))
+
+
 def doc_statistics(spark: SparkSession, d: str) -> DataFrame:
-    picked = bm25.chosen(bm25.doc_tokens(table(spark, d, "documents"), "doc_id", F.col("text")))
-    return bm25.statistics(picked).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return bm25.statistics(bm25.documents_of(_document_postings(spark, d))).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    lengths = bm25.doc_tokens(table(spark, d, "documents"), "doc_id", F.col("text"))
-    picked = bm25.chosen(lengths)
-    frequencies = bm25.document_frequencies(bm25.postings(lengths, picked))
-    return bm25.idf(frequencies, bm25.statistics(picked)).select("term", "df", F.round("idf", 9).alias("idf"))
+    posts = _document_postings(spark, d)
+    weights = bm25.idf(bm25.document_frequencies(posts), bm25.statistics(bm25.documents_of(posts)))
+    return weights.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def dense_leg(spark: SparkSession, d: str, k: int = 20, every: int = EVERY) -> DataFrame:
@@ -90,14 +93,14 @@ def overlap_scores(ranked: DataFrame, spark: SparkSession, d: str, every: int =
 
 
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
-    fused = rrf_fusion(spark, d)
+    fused = checkpointed(rrf_fusion(spark, d))  # at most twice the pool for each question
     ranked = fusion.rerank(fused, overlap_scores(fused, spark, d))
     return ranked.where("rank <= 10").select("q", "doc", "score", "rerank_score", "rank")
 
 
 def hybrid_search(spark: SparkSession, d: str, k: int = 10, every: int = EVERY) -> DataFrame:
     """Both legs, fusion, rerank, one row per file and symbol, the first k."""
-    fused = rrf_fusion(spark, d, every)
+    fused = checkpointed(rrf_fusion(spark, d, every))
     ranked = fusion.rerank(fused, overlap_scores(fused, spark, d, every)).select("q", "doc", "score", "rank")
     meta = catalogue(spark, d).select(F.col("id").alias("doc"), "file", "symbol", "start_line", "end_line")
     return fusion.diverse(ranked, meta, k).select("q", F.col("final_rank").alias("rank"), "doc", "file", "symbol", "start_line", "end_line", "score")
@@ -117,7 +120,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def context_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The prompt's context: a header and a fenced snippet for each hit, in rank order."""
-    hits = lexical(spark, d, 6).select("q", F.col("doc").alias("id"), "rank")
+    hits = checkpointed(lexical(spark, d, 6).select("q", F.col("doc").alias("id"), "rank"))
     hits = hits.join(texts_of(spark, d, hits), "id")
     block = F.concat(F.lit("### "), "file", F.lit(" L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(" ("), "symbol", F.lit(")\n```\n"), snippet(F.col("text")), F.lit("\n```"))
     line = F.concat(F.lit("  "), "file", F.lit(" L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(" ("), "symbol", F.lit(")"))

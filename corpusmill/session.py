@@ -39,6 +39,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than there are cores, dealt out over all cores.
+
+    Only a small input (at most one scan partition per core) is ever shuffled by
+    this; work per row that takes long would else leave cores idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Gives the executors this package, once per application, for clusters where it is not installed."""
     sc = spark.sparkContext
