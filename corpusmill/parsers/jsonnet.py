@@ -370,18 +370,19 @@ def has_comment(text: str) -> bool:
 
 
 def leaves(text: str) -> list[tuple[str, str]]:
-    """(path, value) of every leaf of a text that is one field with an object literal.
+    """(path, value) of every leaf of a text that is one field or local bind with an object literal.
 
     Values other than objects and arrays are their tokens as they stand. Raises
     JsonnetError if the text is anything else.
     """
     tokens = _tokens(text)
-    if not (len(tokens) >= 4 and tokens[1] in _FIELD_MARKS and tokens[2] == "{"):
+    bind = len(tokens) >= 5 and tokens[0] == "local" and tokens[2] == "=" and tokens[3] == "{"
+    if not bind and not (len(tokens) >= 4 and tokens[1] in _FIELD_MARKS and tokens[2] == "{"):
         raise JsonnetError
     p = Parser(tokens)
     out: list[tuple[str, str]] = []
-    _leaf_value(p, 2, tokens[0], out)
-    if p.t[p.i] == ",":
+    _leaf_value(p, 3 if bind else 2, f"local/{tokens[1]}" if bind else tokens[0], out)
+    if p.t[p.i] == (";" if bind else ","):
         p.i += 1
     if not p.done():
         raise JsonnetError
