@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.operators.skew import join_counted
 from corpusmill.parsers import fhicl, jsonnet
-from corpusmill.session import checkpointed
+from corpusmill.session import checkpointed, spread
 
 _OTHER = re.compile(r"[\W_]+")
 #: Distinct values a worker remembers before it starts afresh.
@@ -74,7 +74,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encoded(chunks: DataFrame) -> DataFrame:
     """(id, plain, record, n_rows): the digests of the plain text and of the record tuple; one row per id and text."""
     rows = chunks.where("id is not null and text is not null").select("id", "file", "text")
-    return rows.mapInArrow(_encode, "id string, plain binary, record binary").groupBy("id", "plain", "record").agg(F.count(F.lit(1)).alias("n_rows"))
+    return spread(rows).mapInArrow(_encode, "id string, plain binary, record binary").groupBy("id", "plain", "record").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def grouped(chunks: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.llm.syntax import invalid_files
 from corpusmill.parsers.languages import claimed
-from corpusmill.session import broadcast_if_small, checkpointed
+from corpusmill.session import broadcast_if_small, checkpointed, spread
 
 # Words by which tools mark their output at the top of a file.
 GENERATED = re.compile(
@@ -110,7 +110,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def file_statistics(chunks: DataFrame) -> DataFrame:
     """One row per file: the sums over its rows and the share of its commonest line shape."""
-    rows = chunks.where("file is not null").select("file", "start_line", "text").mapInArrow(_statistics, _COLUMNS)
+    rows = spread(chunks.where("file is not null").select("file", "start_line", "text")).mapInArrow(_statistics, _COLUMNS)
     sums = ["lines", "chars", "code", "space", "long_chars", "line_chars", "separators", "words", "numbers", "encoded"]
     by_shape = rows.groupBy("file", "language", "shape").agg(
         F.sum("shape_lines").alias("shape_lines"), *[F.sum(c).alias(c) for c in sums],

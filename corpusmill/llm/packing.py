@@ -23,6 +23,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from corpusmill.session import spread
 
 #: Container size in tokens.
 CAPACITY = 2048
@@ -75,7 +76,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             sizes = [0 if not t else sum(map(count, _stretches(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
 class _Pricing:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusmill.parsers.languages import WHOLE_FILE, claimed
+from corpusmill.session import spread
 
 #: Least words beyond those of the symbol.
 LEAST_WORDS = 5
@@ -269,7 +270,7 @@ def pairs(chunks: DataFrame) -> DataFrame:
 
     rows = chunks.where("id is not null and text is not null and symbol is not null")
     rows = rows.where((F.col("symbol") != WHOLE_FILE) & ~F.coalesce(F.col("file").endswith(".fcl"), F.lit(False)))
-    found = rows.select("id", "file", "symbol", "text").mapInArrow(_pair_batches, _PAIRS)
+    found = spread(rows.select("id", "file", "symbol", "text")).mapInArrow(_pair_batches, _PAIRS)
     return found.distinct()
 
 
@@ -278,4 +279,4 @@ def documented_ids(chunks: DataFrame) -> DataFrame:
 
     rows = chunks.where("id is not null and text is not null and symbol is not null")
     rows = rows.where((F.col("symbol") != WHOLE_FILE) & ~F.coalesce(F.col("file").endswith(".fcl"), F.lit(False)))
-    return rows.select("id", "file", "symbol", "text").mapInArrow(_pair_batches, _PAIRS).select("id").distinct()
+    return spread(rows.select("id", "file", "symbol", "text")).mapInArrow(_pair_batches, _PAIRS).select("id").distinct()

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.session import broadcast_if_small, checkpointed
+from corpusmill.session import broadcast_if_small, checkpointed, spread
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 #: Rounds of scoring, and the least score of a find.
@@ -255,7 +255,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def finds(documents: DataFrame) -> DataFrame:
     """(doc_id, digest, kind, start, stop, found) of all personal data; places are in code points, stop exclusive."""
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = checkpointed(rows.mapInArrow(_candidate_batches, _COLUMNS))
+    found = checkpointed(spread(rows).mapInArrow(_candidate_batches, _COLUMNS))
     scores = scored(found)
     number_kind = F.when(F.col("first") >= F.col("second"), "phone").otherwise("id_number")
     sure = found.where("hint in ('email', 'address')").select("doc_id", "digest", F.col("hint").alias("kind"), "start", "stop", "found", F.lit(2.0).alias("score"))
@@ -308,6 +308,6 @@ def masked(documents: DataFrame) -> DataFrame:
             counts = [len(s or ()) for s in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "n_found"])
 
-    rows = documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(digested, "doc_id bigint, text string, digest bigint")
+    rows = spread(documents.where("doc_id is not null").select("doc_id", "text")).mapInArrow(digested, "doc_id bigint, text string, digest bigint")
     joined = rows.join(spans, ["doc_id", "digest"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(replaced, "doc_id bigint, text string, n_found int")

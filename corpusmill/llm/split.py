@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from corpusmill.session import spread
 
 #: The reference's cut-off for embedding input, in Unicode code points.
 LIMIT = 6000
@@ -117,7 +118,7 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, only_o
     rows = chunks.where("text is not null").select("id", "file", "symbol", "language", "start_line", "text")
     if only_oversized:
         rows = rows.where(F.char_length("text") > limit)
-    return rows.mapInArrow(_split_batches(limit, overlap), _PIECES)
+    return spread(rows).mapInArrow(_split_batches(limit, overlap), _PIECES)
 
 
 def oversized_ids(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

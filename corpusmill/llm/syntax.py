@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.parsers.languages import claimed, verdict
+from corpusmill.session import spread
 
 _CHECKED = "file string, language string, valid boolean, parses_as string"
 
@@ -38,7 +39,7 @@ def _check_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def checked_rows(chunks: DataFrame) -> DataFrame:
     """(file, language, valid, parses_as) for every row of chunks."""
-    return chunks.select("file", "symbol", "text").mapInArrow(_check_batches, _CHECKED)
+    return spread(chunks.select("file", "symbol", "text")).mapInArrow(_check_batches, _CHECKED)
 
 
 def checked_files(chunks: DataFrame) -> DataFrame:
