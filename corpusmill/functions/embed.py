@@ -29,7 +29,7 @@ def token_sign(token: Column) -> Column:
 def hashed_features(rows: DataFrame, key: str | list[str], text: Column) -> DataFrame:
     """(key, bucket, w): the non-zero parts of each text's unit vector, in sparse form. Repeated rows do not change a direction."""
     keys = [key] if isinstance(key, str) else key
-    parts = rows.select(*keys, F.explode(tokens(text)).alias("token")).select(*keys, token_bucket(F.col("token")).alias("bucket"), token_sign(F.col("token")).alias("s"))
+    parts = rows.select(*keys, F.explode_outer(tokens(text)).alias("token")).where("token is not null").select(*keys, token_bucket(F.col("token")).alias("bucket"), token_sign(F.col("token")).alias("s"))
     sums = parts.groupBy(*keys, "bucket").agg(F.sum("s").alias("w")).where("w <> 0")
     norms = sums.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return sums.join(norms, keys).select(*keys, "bucket", (F.col("w") / F.col("norm")).alias("w"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusmill.functions.text import tokens
+from corpusmill.session import checkpointed
 
 #: Term saturation and length normalisation.
 K1, B = 1.5, 0.75
@@ -36,9 +37,10 @@ def postings(lengths: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     all of them is the term frequency times the copies. The rows with the empty
     term are the documents.
     """
-    rows = lengths.select("doc", "code", "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    # the outer form, as for the inner one the optimizer adds a filter that takes the words apart a second time
+    rows = lengths.select("doc", "code", "dl", F.explode_outer(F.concat(F.array(F.lit("")), "terms")).alias("term"))
     if wanted is not None:
-        marked = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))
+        marked = wanted.select("term").unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("term")))
         rows = rows.join(F.broadcast(marked), "term", "left_semi")
     counted = rows.groupBy("doc", "code", "term").agg(F.count(F.lit(1)).alias("n"), F.min("dl").alias("dl"))
     pick = F.min(F.when(F.col("term") == "", F.struct("code", "n", "dl"))).over(Window.partitionBy("doc"))
@@ -63,12 +65,13 @@ def idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
 
 def question_terms(questions: DataFrame, key: str, text: str) -> DataFrame:
     """(q, term, m): how often each question has each term."""
-    return questions.select(F.col(key).alias("q"), F.explode(tokens(F.col(text))).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("m"))
+    return questions.select(F.col(key).alias("q"), F.explode_outer(tokens(F.col(text))).alias("term")).where("term is not null").groupBy("q", "term").agg(F.count(F.lit(1)).alias("m"))
 
 
 def scores(lengths: DataFrame, terms: DataFrame) -> DataFrame:
     """(q, doc, score) of all matching pairs. Postings are cut to the questions' terms before anything is shuffled."""
-    posts = postings(lengths, terms.select("term").distinct())
+    # the matching part of an index: read by three branches below, so written once
+    posts = checkpointed(postings(lengths, terms.select("term").distinct()))
     hits, stats = posts.where("term <> ''"), statistics(documents_of(posts))
     weights = idf(document_frequencies(hits), stats).select("term", "idf").join(terms, "term")
     tf, dl = F.col("tf"), F.col("dl")
