@@ -151,7 +151,7 @@ select metric, max(v) filter (k = 1) at_1, max(v) filter (k = 3) at_3, max(v) fi
     "gold_metrics": f"""with {CORPUS}, {_BM25}, aq as (select gold_id q from asked), rk as (select q, doc, rank from lex where rank <= 10),
 gl as (select distinct q, doc from (select gold_id q, unnest(relevant_chunk_ids) doc from gold) where doc is not null and q in (select q from aq)),
 {_METRICS.format(asked="aq", ranked="rk", gold="gl")} select * from pq""",
-    "latency_percentiles": f"""with {_REQ} select k % 6 as level, count(*) n, count(*) filter (success) ok, count(*) filter (not success) failures, round(count(*) filter (success)::double / count(*), 6) rate,
+    "latency_percentiles": f"""with {_REQ} select k % 6 as level, count(*) n, count(*) filter (success) ok, count(*) - count(*) filter (success) failures, round(count(*) filter (success)::double / count(*), 6) rate,
   quantile_disc(latency, 0.5) filter (success) p50, quantile_disc(latency, 0.95) filter (success) p95, max(latency) filter (success) "max", round(avg(latency) filter (success), 6) "mean" from r group by 1""",
     "throughput_medians": f"with {_REQ} select event_type, round(median(k / latency), 9) tok_per_s, median(k) tokens, round(median(latency), 9) answer_s from r where coalesce(k, 0) <> 0 and coalesce(latency, 0) <> 0 group by 1",
     "peak_usage": f"with {_REQ} select user_id, max(latency) filter (success) peak from r group by 1",

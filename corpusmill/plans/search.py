@@ -204,7 +204,7 @@ r2 as (select *, row_number() over (partition by q order by rank) final_rank fro
 _HDR = "file || ' L' || start_line || '-' || end_line || ' (' || symbol || ')'"
 _DOCS = f"d as (select doc_id, {tk(chr(34) + 'text' + chr(34))} ts from (select doc_id, coalesce(text, '') as text from documents))"
 _LIVE = f"""txt as (select distinct id chunk_id, md5(substr(text, 1, 6000)) as key from chunks where text is not null),
-live as (select key, min(p.id) point_id from points p join txt using (chunk_id) where embed_model = '{MODEL}' and vector is not null group by key),
+live as (select txt.key as key, min(p.id) point_id from points p join txt on txt.chunk_id = p.chunk_id where embed_model = '{MODEL}' and vector is not null group by txt.key),
 inputs as (select md5(substr(text, 1, 6000)) as key, count(*) n from chunks where text is not null group by 1)"""
 ORACLE = {
     "token_counts": f"with {_DOCS} select distinct doc_id, len(ts) n_tokens from d",
