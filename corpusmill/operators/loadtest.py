@@ -6,7 +6,14 @@ a rate over no requests is null; samples without a count or a time are skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import subprocess
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, TimeoutError as Late
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from corpusmill.schema import REQUEST
 
 
 def nearest_rank(value: str, p: float) -> Column:
@@ -39,3 +46,48 @@ def p_yes(no: Column, yes: Column) -> Column:
 def round_robin(workers: DataFrame, questions: DataFrame, n: int) -> DataFrame:
     """Worker i with question i mod n; questions (q_ord, question) numbered from 0."""
     return workers.join(F.broadcast(questions), F.pmod(F.col("worker"), F.lit(n)) == F.col("q_ord"))
+
+
+def preflight(leg: DataFrame, name: str) -> None:
+    """Refuses to score with a leg that finds nothing."""
+    if leg.isEmpty():
+        raise RuntimeError(f"the {name} leg gives no rows; a degraded stack is not scored")
+
+
+def run_level(spark: SparkSession, ask: Callable[[str], str], questions: list[str], level: int, timeout: float = 120.0, marker: str = "[generation unavailable") -> DataFrame:
+    """One batch of `level` requests at once, worker i asking question i mod n; a record each (schema.REQUEST).
+
+    An answer with the marker, an exception and a request that is late all fail.
+    """
+
+    def one(i: int) -> tuple:
+        start = time.time()
+        try:
+            text = ask(questions[i % len(questions)])
+            failed = marker in text
+            return (i, start, time.time(), time.time() - start, not failed, "unavailable" if failed else None, text[:500] if failed else None, None if failed else len(text))
+        except Exception as e:
+            return (i, start, time.time(), time.time() - start, False, type(e).__name__, str(e)[:500], None)
+
+    pool = ThreadPoolExecutor(level)
+    began = time.time()
+    waiting = [pool.submit(one, i) for i in range(level)]
+    rows = []
+    for i, f in enumerate(waiting):
+        try:
+            rows.append(f.result(max(0.0, timeout - (time.time() - began))))
+        except Late:
+            rows.append((i, began, time.time(), time.time() - began, False, "timeout", f"over {timeout} s", None))
+    pool.shutdown(wait=False, cancel_futures=True)
+    return spark.createDataFrame(sorted(rows), REQUEST)
+
+
+def sample_device(command: tuple[str, ...] = ("nvidia-smi", "--query-gpu=memory.used,utilization.gpu", "--format=csv,noheader,nounits")) -> tuple:
+    """(t, mem_used_mb, util_pct, error) of one poll; a failure is a row with an error."""
+    now = time.time()
+    try:
+        out = subprocess.run(command, capture_output=True, text=True, check=True, timeout=10).stdout
+        memory, use = (int(x) for x in out.splitlines()[0].split(","))
+        return now, memory, use, None
+    except Exception as e:
+        return now, None, None, f"{type(e).__name__}: {e}"[:300]

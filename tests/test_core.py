@@ -310,3 +310,21 @@ def test_monitor_stream(spark, sf_dir, tmp_path):
     q = s.writeStream.format("memory").queryName("monitor").outputMode("complete").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("monitor").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_levels(spark):
+    import time
+
+    def ask(q):
+        if q == "slow":
+            time.sleep(2)
+        if q == "bad":
+            raise ValueError("no")
+        return "[generation unavailable: x]" if q == "down" else "fine"
+
+    rows = loadtest.run_level(spark, ask, ["ok", "bad", "down", "slow"], 5, timeout=0.7).orderBy("idx").collect()
+    assert [r["error_type"] for r in rows] == [None, "ValueError", "unavailable", "timeout", None] and rows[0]["answer_chars"] == 4
+    assert loadtest.sample_device(("no-such-command",))[3] and loadtest.sample_device(("echo", "12, 34"))[1:] == (12, 34, None)
+    loadtest.preflight(spark.range(1), "dense")
+    with pytest.raises(RuntimeError):
+        loadtest.preflight(spark.range(0), "dense")
