@@ -38,9 +38,9 @@ def test_chunk_schema(spark):
 
 def test_tokens(spark):
     rng = random.Random(1)
-    texts = ["GetHits", "DUNEAnaUtils", "", "a1B2 xY_zZ", "µs-scale ÄÖ"] + ["".join(rng.choice("abXYZ09_ .é") for _ in range(30)) for _ in range(200)]
+    texts = ["GetHits", "ABCAnaUtils", "", "a1B2 xY_zZ", "µs-scale ÄÖ"] + ["".join(rng.choice("abXYZ09_ .é") for _ in range(30)) for _ in range(200)]
     got = [r["t"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tokens(F.col("t")).alias("t")).collect()]
-    assert got[0] == ["get", "hits"] and got[1] == ["dune", "ana", "utils"]
+    assert got[0] == ["get", "hits"] and got[1] == ["abc", "ana", "utils"]
     assert sorted(map(tuple, got)) == sorted(tuple(x.lower() for x in re.findall(TOKEN, t)) for t in texts)
 
 
