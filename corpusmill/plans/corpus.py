@@ -136,15 +136,21 @@ def ab_dropped(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ab(s: SparkSession, d: str) -> DataFrame:
-    """(q, excluded, complete_hit, partial_hit, ungrounded): lexical search over the corpus with and without the modules."""
+    """(q, excluded, complete_hit, partial_hit, ungrounded): lexical search over the corpus with and without the modules.
+
+    Two searches, each with the idf and mean length of its own corpus; the answer is the files of the partial hits.
+    """
     asked = questions(s, d)
     gold = table(s, d, "gold").where(F.col("gold_id").isNotNull()).select(F.col("gold_id").alias("q"), F.explode("relevant_chunk_ids").alias("doc")).where("doc is not null").distinct()
     files = each_chunk(s, d).select(F.col("id").alias("doc"), "file", "symbol")
-    hits = lexical(s, d, 20).select("q", "doc", "rank").join(files, "doc").withColumn("out", F.coalesce(second_part().isin(*MODULES), F.lit(False)))
-    hits = checkpointed(hits)  # at most twenty for each question
-    relevant = hits.join(gold.withColumn("g", F.lit(True)), ["q", "doc"], "left").withColumn("g", F.coalesce("g", F.lit(False)))
-    flags = relevant.groupBy("q").agg(F.max("g").alias("complete_hit"), F.max(F.col("g") & ~F.col("out")).alias("partial_hit"), F.array_join(F.array_sort(F.collect_set("file")), " ").alias("answer"))
-    targets = gold.join(files, "doc").withColumn("out", F.coalesce(second_part().isin(*MODULES), F.lit(False)))
+    out = F.coalesce(second_part().isin(*MODULES), F.lit(False))
+    found = lambda hits: hits.join(gold.withColumn("g", F.lit(True)), ["q", "doc"], "left").withColumn("g", F.coalesce("g", F.lit(False)))
+    complete = found(lexical(s, d, 20).select("q", "doc")).groupBy("q").agg(F.max("g").alias("complete_hit"))
+    kept = lexical(s, d, 20, kept=~out).select("q", "doc").join(each_chunk(s, d, ~out).select(F.col("id").alias("doc"), "file"), "doc")
+    kept = checkpointed(kept)  # at most twenty for each question
+    partial = found(kept).groupBy("q").agg(F.max("g").alias("partial_hit"), F.array_join(F.array_sort(F.collect_set("file")), " ").alias("answer"))
+    flags = complete.join(partial, "q", "full")
+    targets = gold.join(files, "doc").withColumn("out", out)
     of_q = targets.join(flags.select("q", "answer"), "q", "left").groupBy("q").agg(
         F.max("out").alias("excluded"), F.max(F.col("out") & abtest.cites(F.col("answer"), F.col("file"), F.col("symbol"))).alias("ungrounded")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmill.functions.embed import hashed_features
 from corpusmill.functions.text import embed_input, line_count, snippet, tokens
@@ -18,16 +18,16 @@ def _text():
     return F.concat_ws(" ", F.col("text"), F.col("symbol"))
 
 
-def rows_of(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of chunks with the code that tells texts of one id apart."""
+def rows_of(spark: SparkSession, d: str, kept: Column | None = None) -> DataFrame:
+    """The rows of chunks, only the kept ones if a condition is given, with the code that tells texts of one id apart."""
     rows = table(spark, d, "chunks").select("id", "file", "symbol", "start_line", "end_line", "text")
-    return spread(rows).where("id is not null and text is not null").withColumn("code", F.md5(_text()))
+    return spread(rows if kept is None else rows.where(kept)).where("id is not null and text is not null").withColumn("code", F.md5(_text()))
 
 
-def catalogue(spark: SparkSession, d: str) -> DataFrame:
+def catalogue(spark: SparkSession, d: str, kept: Column | None = None) -> DataFrame:
     """(id, code, file, symbol, start_line, end_line): each chunk once, without its text, by the smallest code."""
     pick = F.min(F.struct("code", "file", "symbol", "start_line", "end_line")).alias("c")
-    return rows_of(spark, d).groupBy("id").agg(pick).select("id", "c.*")
+    return rows_of(spark, d, kept).groupBy("id").agg(pick).select("id", "c.*")
 
 
 def texts_of(spark: SparkSession, d: str, ids: DataFrame) -> DataFrame:
@@ -43,8 +43,8 @@ def questions(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
     return gold.groupBy("gold_id").agg(F.min("question").alias("question"))
 
 
-def lexical(spark: SparkSession, d: str, k: int = 20, every: int = EVERY) -> DataFrame:
-    return bm25.search(rows_of(spark, d), "id", _text(), questions(spark, d, every), "gold_id", "question", k)
+def lexical(spark: SparkSession, d: str, k: int = 20, every: int = EVERY, kept: Column | None = None) -> DataFrame:
+    return bm25.search(rows_of(spark, d, kept), "id", _text(), questions(spark, d, every), "gold_id", "question", k)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
