@@ -46,13 +46,20 @@ def sentences(text: str) -> list[list[str]]:
     return [w for w in (words(s) for s in _SENTENCE.split(text)) if w]
 
 
+def stock_sentences(items: list[tuple[int, str]]) -> set[str]:
+    seen = Counter(s for _, t in items for s in {" ".join(x) for x in sentences(t)})
+    return {s for s, n in seen.items() if n >= STOCK}
+
+
 class Automaton:
     """Generalised suffix automaton over word numbers, with the ends of each state's words in the items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], stock: set[str] | None = None):
+        """stock: the stock sentences, if these items are only some of them."""
         items = sorted({(k, t) for k, t in items if k is not None and t})
         split = [(k, sentences(t)) for k, t in items]
-        seen = Counter(s for _, ss in split for s in {" ".join(x) for x in ss})
+        if stock is None:
+            stock = stock_sentences(items)
         # an id that comes twice with one text is one item
         self.number: dict[str, int] = {}
         self.items: list[tuple[int, list[int], list[bool]]] = []
@@ -64,9 +71,8 @@ class Automaton:
             body: list[int] = []
             counted: list[bool] = []
             for s in ss:
-                stock = seen[" ".join(s)] >= STOCK
                 body += [self.number.setdefault(w, len(self.number)) for w in s]
-                counted += [not stock] * len(s)
+                counted += [" ".join(s) not in stock] * len(s)
             self._versions(k, body, counted)
         for at, (_, body, counted) in enumerate(self.items):
             last = 0
@@ -185,25 +191,21 @@ class Automaton:
         return found
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The query set on the driver, in blocks. Stock sentences are found over all items."""
+def _blocks(items: DataFrame) -> list[tuple[list[tuple[int, str]], set[str]]]:
+    """The query set on the driver, in blocks, each with its stock sentences. These are found over all items."""
     rows = [(r[0], r[1]) for r in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().toLocalIterator()]
-    total = sum(len(t) for _, t in rows)
-    if total > 64 * BLOCK_CHARS:
+    if sum(len(t) for _, t in rows) > 64 * BLOCK_CHARS:
         raise ValueError("the test items are too many for a query set; give them in parts")
-    if total <= BLOCK_CHARS:
-        return [rows] if rows else []
-    stock = Counter(s for k, t in rows for s in {" ".join(x) for x in sentences(t)})
-    blocks: list[list[tuple[int, str]]] = [[]]
+    stock = stock_sentences(rows)
+    blocks: list[list[tuple[int, str]]] = []
     size = 0
     for k, t in sorted(rows):
-        t = " ".join(" ".join(x) + "." for x in sentences(t) if stock[" ".join(x)] < STOCK)
-        if size + len(t) > BLOCK_CHARS:
+        if not blocks or size + len(t) > BLOCK_CHARS:
             blocks.append([])
             size = 0
         blocks[-1].append((k, t))
         size += len(t)
-    return blocks
+    return [(block, stock & {" ".join(x) for _, t in block for x in sentences(t)}) for block in blocks]
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     shared = [spark.sparkContext.broadcast(block) for block in _blocks(items)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton(b.value) for b in shared]
+        machines = [Automaton(*b.value) for b in shared]
         for batch in batches:
             ids, held = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -312,6 +312,17 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in leaks.leaked(documents(spark, docs), i).collect()} == whole == {(k, k % 12) for k in range(24)}
 
 
+def test_stock_sentences_in_blocks(spark, monkeypatch):
+    # a stock sentence in the middle of each item, and every item whole with one word in ten exchanged
+    part = lambda k, c: " ".join(f"q{k}{c}{j}" for j in range(10))
+    items = [(k, f"{part(k, 'a')}. Give your answer as one number. {part(k, 'b')}.") for k in range(6)]
+    docs = [(k, t.replace(f"q{k}a5", "other").replace(f"q{k}b5", "other")) for k, t in items]
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = {tuple(r) for r in leaks.leaked(documents(spark, docs), i).collect()}
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 300)
+    assert {tuple(r) for r in leaks.leaked(documents(spark, docs), i).collect()} == whole == {(k, k) for k in range(6)}
+
+
 # ------------------------------------------------------------------ p9
 
 GIVEN = "Greta Milan Oskar Elif Noor Tariq Hana Viktor".split()
