@@ -1,10 +1,10 @@
-"""References to records that do not exist, from signed change deltas.
+"""References to records that do not exist, from creations and deletions.
 
-A key's existence changes by +1 when the record comes while absent and by -1
-when it is deleted while present; references add to the key's reference count.
-A reference with a positive count whose key's existence sums to zero at that
-time is an orphan. The running state is kept at two levels, per (key, hour) and
-then inside the hour, so a key that holds a third of all rows is still spread.
+The running state of a key is its latest coming and its latest deletion, as
+running maxima; no sums of signed deltas and no reference counts are kept. A
+reference is an orphan if its key has not come by then or was deleted after its
+latest coming. The state is kept at two levels, per (key, hour) and then inside
+the hour, so a key that holds a third of all rows is still spread.
 
 Defined results: null keys are no references; a reference without a time is
 held against nothing and so is an orphan; changes without a time or a key are
