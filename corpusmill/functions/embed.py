@@ -6,14 +6,19 @@ to one of DIM buckets, both taken from its MD5; the vector is scaled to length 1
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from corpusmill.functions.text import tokens
+from corpusmill.functions.text import TOKEN, tokens
 
 DIM = 64
+_TOKEN = re.compile(TOKEN)
 #: Texts to a batch and batches at once of the embedding service.
 BATCH, WORKERS = 32, 8
 
@@ -26,13 +31,32 @@ def token_sign(token: Column) -> Column:
     return F.when(F.conv(F.substring(F.md5(token), 5, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def hashed_features(rows: DataFrame, key: str | list[str], text: Column) -> DataFrame:
-    """(key, bucket, w): the non-zero parts of each text's unit vector, in sparse form. Repeated rows do not change a direction."""
-    keys = [key] if isinstance(key, str) else key
-    parts = rows.select(*keys, F.explode_outer(tokens(text)).alias("token")).where("token is not null").select(*keys, token_bucket(F.col("token")).alias("bucket"), token_sign(F.col("token")).alias("s"))
-    sums = parts.groupBy(*keys, "bucket").agg(F.sum("s").alias("w")).where("w <> 0")
-    norms = sums.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norms, keys).select(*keys, "bucket", (F.col("w") / F.col("norm")).alias("w"))
+class HashEmbedder:
+    """Texts -> unit vectors (a row of zeros for a text without words); each distinct word is hashed once per worker."""
+
+    dim = DIM
+    #: Distinct words remembered before the memory is emptied; the vectors do not depend on it.
+    MEMO = 1_000_000
+
+    def __init__(self):
+        self.memo: dict[str, tuple[int, float]] = {}
+
+    def _feature(self, word: str) -> tuple[int, float]:
+        if word not in self.memo:
+            if len(self.memo) >= self.MEMO:
+                self.memo.clear()
+            code = hashlib.md5(word.encode()).hexdigest()
+            self.memo[word] = int(code[:4], 16) % DIM, 1.0 if int(code[4], 16) % 2 == 0 else -1.0
+        return self.memo[word]
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), DIM))
+        for row, text in zip(out, texts):
+            for word, n in Counter(_TOKEN.findall(text or "")).items():
+                bucket, sign = self._feature(word.lower())
+                row[bucket] += sign * n
+        norm = np.sqrt(np.einsum("ij,ij->i", out, out))
+        return out / np.where(norm > 0, norm, 1.0)[:, None]
 
 
 def hash_vector(text: Column) -> Column:

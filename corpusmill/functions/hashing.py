@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusmill.session import checkpointed
+
 #: Fixed value: the DNS name space of version 5 UUIDs.
 DNS = "6ba7b8109dad11d180b400c04fd430c8"
 
@@ -17,10 +23,22 @@ def uuid5(name: Column) -> Column:
 
 
 def fingerprint(chunks: DataFrame) -> DataFrame:
-    """The first 12 hex digits of SHA-1 over sorted (id, text); one task reads all rows, so for small corpora only."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), "text")))
-    line = F.transform(rows, lambda r: F.concat(r["id"], F.lit("\0"), r["text"], F.lit("\1")))
-    return chunks.where("id is not null and text is not null").agg(F.substring(F.sha1(F.array_join(line, "")), 1, 12).alias("fingerprint"))
+    """The first 12 hex digits of one SHA-1 over all (id, text), sorted.
+
+    The digest is sequential by definition: the rows are sorted in parallel, then
+    one task streams them through it, holding a batch at a time. corpus_digest
+    adds up in parallel where the value need not be this one.
+    """
+    rows = chunks.where("id is not null and text is not null").select(F.col("id").cast("string").alias("id"), "text").orderBy("id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.sha1()
+        for batch in batches:
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                digest.update(f"{id_}\0{text}\1".encode("utf-8", "surrogatepass"))
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()[:12]])], names=["fingerprint"])
+
+    return checkpointed(rows).coalesce(1).mapInArrow(run, "fingerprint string")
 
 
 def row_code(id_: Column, text: Column) -> Column:

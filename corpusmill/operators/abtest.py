@@ -9,17 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def _out(modules: list[str], module: Column) -> Column:
+    return F.coalesce(module.isin(*modules), F.lit(False))
+
+
+def partial_corpus(chunks: DataFrame, modules: list[str], module: Column) -> DataFrame:
+    """The rows outside the modules."""
+    return chunks.where(~_out(modules, module))
+
+
+def dropped_files(chunks: DataFrame, modules: list[str], module: Column) -> DataFrame:
+    """(file) of the rows that are left out, distinct."""
+    return chunks.where(_out(modules, module)).select("file").distinct()
+
+
 def manifest(chunks: DataFrame, modules: list[str], module: Column) -> DataFrame:
-    """One row: kept and dropped chunks, dropped by module (zeros too), dropped files."""
-    rows = chunks.select("file", module.alias("m"), F.coalesce(module.isin(*modules), F.lit(False)).alias("out"))
-    # files first, so that the list has each file once and a hot file costs nothing
+    """One row: kept and dropped chunks, dropped by module (zeros too), the number of dropped files."""
+    rows = chunks.select("file", module.alias("m"), _out(modules, module).alias("out"))
+    # files first, so that a hot file costs nothing
     per_file = rows.groupBy("file", "m", "out").agg(F.count(F.lit(1)).alias("n"))
     by = lambda name: F.struct(F.lit(name).alias("module"), F.coalesce(F.sum(F.when(F.col("out") & (F.col("m") == name), F.col("n"))), F.lit(0)).alias("chunks"))
     return per_file.agg(
         F.coalesce(F.sum(F.when(~F.col("out"), F.col("n"))), F.lit(0)).alias("kept_chunks"),
         F.coalesce(F.sum(F.when(F.col("out"), F.col("n"))), F.lit(0)).alias("dropped_chunks"),
         F.map_from_entries(F.array(*[by(m) for m in sorted(modules)])).alias("dropped_by_module"),
-        F.array_sort(F.collect_set(F.when(F.col("out"), F.col("file")))).alias("dropped_files"),
+        F.sum(F.when(F.col("out") & F.col("file").isNotNull(), 1).otherwise(0)).alias("dropped_files"),
     )
 
 
@@ -33,6 +47,7 @@ def dropped_by_module(chunks: DataFrame, modules: list[str], module: Column) ->
 
 def verdict(excluded: Column, complete_hit: Column, partial_hit: Column, ungrounded: Column) -> Column:
     """What became of a question when modules were left out."""
+    # The verdicts.
     return (
         F.when(~complete_hit, "complete_retrieval_miss")
         .when(excluded & partial_hit, "leak")

@@ -7,7 +7,7 @@ becomes one whole-file chunk; repeated ids get #2, #3 and so on in file order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,13 +16,8 @@ from corpusmill.functions.text import extension, line_count
 from corpusmill.parsers.chunkers import chunks_of
 from corpusmill.parsers.languages import EXTENSIONS, LANGUAGES, WHOLE_FILE
 
-#: (name, pattern) in order; the first that matches a path excludes it. Give your own for other layouts.
-EXCLUSIONS = (
-    ("test-dirs", r"(^|/)test/"),
-    ("vendored", r"(^|/)Genfit/"),
-    ("calib-constant-tables", r"fcl/[^/]+/fcldirs/(calib|pedestal|rundata)/"),
-    ("prod-job-permutations", r"/prod[^/]*\.fcl$"),
-)
+#: Ordered (name, pattern) pairs.
+Rules = Sequence[tuple[str, str]]
 
 
 def dispatch(path: Column) -> Column:
@@ -31,7 +26,7 @@ def dispatch(path: Column) -> Column:
     return F.try_element_at(table, extension(path))
 
 
-def exclusion(path: Column, rules=EXCLUSIONS) -> Column:
+def exclusion(path: Column, rules: Rules) -> Column:
     """Name of the first rule that matches, or null."""
     out = None
     for name, pattern in rules:
@@ -39,7 +34,7 @@ def exclusion(path: Column, rules=EXCLUSIONS) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def exclusion_counts(files: DataFrame, path: str = "file", rules=EXCLUSIONS) -> DataFrame:
+def exclusion_counts(files: DataFrame, rules: Rules, path: str = "file") -> DataFrame:
     """(rule, files) for every rule, those without files too."""
     spark = files.sparkSession
     names = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(rules)], "ord int, rule string")
@@ -48,9 +43,9 @@ def exclusion_counts(files: DataFrame, path: str = "file", rules=EXCLUSIONS) ->
     return names.join(F.broadcast(counted), "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("files"))
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """(file, ord, symbol, start_line, end_line, text, language, fallback) from (path, text) rows of kept files."""
-    kept = files.withColumn("language", dispatch(F.col("path"))).where("language is not null").where(exclusion(F.col("path")).isNull())
+def extract(files: DataFrame, rules: Rules = ()) -> DataFrame:
+    """(file, ord, symbol, start_line, end_line, text, language, fallback) from (path, text) rows of files that no rule excludes."""
+    kept = files.withColumn("language", dispatch(F.col("path"))).where("language is not null").where(exclusion(F.col("path"), rules).isNull())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -1,43 +1,63 @@
 """Dense retrieval, embedding de-duplication and reuse.
 
-Defined results: a null or zero vector matches nothing; rows with equal input
-text share one vector; a reused vector must come from the same model.
+Defined results: a null or zero vector, one with a null element and one of
+another length than the query's match nothing; a row without a key is left out;
+rows with equal input text share one vector; a reused vector must come from the
+same model.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusmill.functions.text import embed_input
+from corpusmill.operators.topk import blocks, ranked, union
 
 PLACES = 9
+#: Queries that one scan of the vectors answers.
+BLOCK = 512
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In doubles; null for a null or zero vector."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.try_divide(dot, norm(a) * norm(b))
+def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows with a usable vector of a length, and these vectors scaled to length 1."""
+    at = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
+    # a row that spans the whole values buffer is flattened; nulls become NaN
+    values = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), dim)
+    norm = np.sqrt(np.einsum("ij,ij->i", values, values))
+    good = np.isfinite(norm) & (norm > 0)
+    return at[good], values[good] / norm[good, None]
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = 20, block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = 20, block: int = BLOCK, places: int = PLACES, larger: bool = False) -> DataFrame:
     """(q, doc, rank, score): exact cosine top-k of a stated query set against all rows, in blocks of queries.
 
-    Each block of at most `block` queries is broadcast to a scan of the vectors,
-    and only k candidates per query and partition are shuffled.
+    One scan of the vectors answers a block: each batch is one matrix product, and
+    only k candidates per query and partition are shuffled.
     """
-    queries = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("qv")).where("qv is not null")
-    n = queries.count()
-    docs = vectors.select(F.col(key).alias("doc"), F.col(vector).alias("v")).where("v is not null")
-    numbered = queries if n <= block else queries.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(-(-n // block))))
-    parts = [numbered] if n <= block else [numbered.where(F.col("_b") == b).drop("_b") for b in range(-(-n // block))]
-    found = None
-    for part in parts:
-        pairs = docs.join(F.broadcast(part), F.lit(True)).select("q", "doc", F.round(cosine(F.col("qv"), F.col("v")), PLACES).alias("score")).where("score is not null")
-        order = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        found = best if found is None else found.unionByName(best)
-    return found.select("q", "doc", "rank", "score")
+    asked = queries.select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("q is not null and v is not null")
+    docs = vectors.select(F.col(key).alias("doc"), F.col(vector).alias("v")).where("doc is not null and v is not null")
+    q_type, found = asked.schema["q"].dataType, []
+    for rows in blocks(asked, block):
+        for dim in sorted({len(r["v"]) for r in rows} - {0}):
+            mine = [r for r in rows if len(r["v"]) == dim]
+            at, unit = unit_rows(pa.array([r["v"] for r in mine], pa.list_(pa.float64())), dim)
+            if len(at):
+                found.append(ranked(docs, _scorer(unit.T.copy(), dim, places), [mine[a]["q"] for a in at], q_type, k, larger))
+    empty = T.StructType([T.StructField("q", q_type), T.StructField("doc", docs.schema["doc"].dataType), T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    out = union(found)
+    return vectors.sparkSession.createDataFrame([], empty) if out is None else out
+
+
+def _scorer(asked: np.ndarray, dim: int, places: int):
+    def score(batch: pa.RecordBatch):
+        at, unit = unit_rows(batch.column(1), dim)
+        scores = np.round(unit @ asked, places) + 0.0
+        return batch.column(0).take(pa.array(at)), scores, np.ones(scores.shape, bool)
+
+    return score
 
 
 def embed_inputs(chunks: DataFrame) -> DataFrame:

@@ -8,7 +8,13 @@ ranked row stays, null files or symbols being groups of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from corpusmill.operators.bm25 import words
 
 #: The constant of the fusion, candidates of a leg, candidates to rerank.
 RRF_K, POOL, RERANK_POOL = 60, 10, 40
@@ -38,3 +44,55 @@ def diverse(ranked: DataFrame, meta: DataFrame, k: int) -> DataFrame:
     kept = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     order = Window.partitionBy("q").orderBy("rank")
     return kept.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= k)
+
+
+#: Gives a score for each passage, best highest: scorer(question, passages).
+Scorer = Callable[[str, list[str]], list[float]]
+
+
+def word_overlap(question: str, passages: list[str]) -> list[float | None]:
+    """The default scorer: the share of the question's distinct words that a passage has."""
+    asked = set(words(question))
+    return [round(len(asked & set(words(p))) / len(asked), 9) if asked else None for p in passages]
+
+
+def rerank_scores(candidates: DataFrame, scorer: Scorer) -> DataFrame:
+    """(q, doc, rerank_score, error) of candidates (q, doc, question, passage), at most a pool for each question.
+
+    A scorer that fails, or gives another number of scores than passages, leaves
+    the scores of its question null, so that the fused order stands, and the error beside them.
+    """
+    rows = candidates.select("q", "doc", "question", "passage")
+    schema = T.StructType([rows.schema["q"], rows.schema["doc"], *T._parse_datatype_string("rerank_score double, error string").fields])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, scores, error = frame.sort_values("doc"), [None] * len(frame), None
+        try:
+            got = list(scorer(frame["question"].iloc[0], frame["passage"].tolist()))
+            if len(got) != len(frame):
+                raise ValueError(f"{len(got)} scores for {len(frame)} passages")
+            scores = [None if x is None else float(x) for x in got]
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"[:500]
+        return frame[["q", "doc"]].assign(rerank_score=pd.array(scores, "Float64"), error=error)
+
+    return rows.groupBy("q").applyInPandas(run, schema)
+
+
+def logit_scorer(logits: Callable[[str, list[str]], list[tuple[float, float]]]) -> Scorer:
+    """A scorer from a model's (no, yes) logits: the probability of yes."""
+
+    def score(question: str, passages: list[str]) -> list[float]:
+        return [1.0 / (1.0 + math.exp(min(no - yes, 700.0))) for no, yes in logits(question, passages)]
+
+    return score
+
+
+def class_scorer(values: Callable[[list[tuple[str, str]]], list[float]], batch: int = 16) -> Scorer:
+    """A scorer from a model that gives one value to each (question, passage) pair, in batches."""
+
+    def score(question: str, passages: list[str]) -> list[float]:
+        pairs = [(question, p) for p in passages]
+        return [x for at in range(0, len(pairs), batch) for x in values(pairs[at : at + batch])]
+
+    return score

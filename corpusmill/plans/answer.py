@@ -18,14 +18,19 @@ SYSTEM = "Answer from the code snippets only, cite file and line range of each c
 UNAVAILABLE = "[generation unavailable"
 
 
+def _lines() -> Column:
+    return F.concat(F.lit("L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+
+
 def context_block() -> Column:
-    """A header and the fenced first part of a chunk's text."""
-    lines = F.concat(F.lit(" L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
-    return F.concat(F.lit("### "), "file", lines, F.lit(" ("), "symbol", F.lit(")\n```\n"), snippet(F.col("text")), F.lit("\n```"))
+    """Fixed format: a header, then the first part of a chunk's text in a fence that names its language."""
+    head = F.concat(F.lit("### "), "file", F.lit(" "), _lines(), F.lit("  ("), "symbol", F.lit(")"))
+    return F.concat(head, F.lit("\n```"), F.coalesce("language", F.lit("")), F.lit("\n"), snippet(F.col("text")), F.lit("\n```"))
 
 
 def source_line() -> Column:
-    return F.concat(F.lit("  "), "file", F.lit(" L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(" ("), "symbol", F.lit(")"))
+    """Fixed format: file, lines and symbol, two blanks between them and before."""
+    return F.concat(F.lit("  "), "file", F.lit("  "), _lines(), F.lit("  "), "symbol")
 
 
 def prompts(hits: DataFrame, questions: DataFrame, history: str | None = None, system: str = SYSTEM) -> DataFrame:

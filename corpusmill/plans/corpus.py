@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.functions.hashing import corpus_digest, fingerprint, uuid5
 from corpusmill.functions.text import basename, extension, module, slug, symbol_of_id, without_mentions
 from corpusmill.operators import abtest, corpus
-from corpusmill.plans.search import CORPUS, _BM25, catalogue as each_chunk, lexical, questions
+from corpusmill.plans.search import CORPUS, _BM25, _DENSE, _DIVERSE, _FUSE, corpus as search_index, questions
 from corpusmill.schema import chunk_errors, chunk_id
+from corpusmill.operators.searchindex import corpus_rows
 from corpusmill.session import checkpointed, spread
 from corpusmill.sources.store import orphans as orphan_versions
 from corpusmill.sources.tables import table
 
 #: The module list of the A/B queries: second parts of paths.
 MODULES = ["Views", "Seeds", "Absent"]
+#: Hits of each A/B search.
+TOP_K = 10
 
 
 def chunk_validate(s: SparkSession, d: str) -> DataFrame:
@@ -29,8 +32,10 @@ def chunk_ids(s: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_ids(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "chunks").select("file", "symbol", "start_line", "end_line", "text").where("file is not null and symbol is not null and start_line is not null").distinct()
-    rows = corpus.numbered(c, [F.col("end_line"), F.md5("text")])
+    """Distinct rows of the table, numbered in the order in which they entered the index."""
+    c = table(s, d, "chunks").where("file is not null and symbol is not null and start_line is not null")
+    c = c.groupBy("file", "symbol", "start_line", "end_line", "text").agg(F.min("indexed_at").alias("first_at"))
+    rows = corpus.numbered(c, [F.asc_nulls_last("first_at"), F.asc_nulls_last("end_line"), F.md5("text").asc_nulls_last()])
     return rows.select("id", "file", "symbol", "start_line", F.md5("text").alias("text_md5"))
 
 
@@ -45,7 +50,7 @@ def ext_dispatch(s: SparkSession, d: str) -> DataFrame:
 
 
 def path_exclusion_counts(s: SparkSession, d: str) -> DataFrame:
-    return corpus.exclusion_counts(table(s, d, "chunks"), "file", RULES)
+    return corpus.exclusion_counts(table(s, d, "chunks"), RULES)
 
 
 #: Rules of the demonstration; their folders are in the test tables.
@@ -84,9 +89,8 @@ def corpus_digests(s: SparkSession, d: str) -> DataFrame:
     return corpus_digest(table(s, d, "chunks").select("id", "text"))
 
 
-def item_fingerprint(s: SparkSession, d: str) -> DataFrame:
-    items = table(s, d, "eval_items").select(F.col("item_id").cast("string").alias("id"), "text").distinct()
-    return fingerprint(items)
+def corpus_fingerprint(s: SparkSession, d: str) -> DataFrame:
+    return fingerprint(table(s, d, "chunks").select("id", "text"))
 
 
 VERSIONS = [("code__0a1b2c3d4e5f__1000", True), ("code__0a1b2c3d4e5f__9000_deadbeef", False), ("code__ffffffffffff__500", False), ("code", False), ("other__0a1b2c3d4e5f__10", False), ("code__xyz__7", False), ("code__00000000000f__6500", False)]
@@ -107,9 +111,11 @@ def strip_mentions(s: SparkSession, d: str) -> DataFrame:
 
 def gold_modules(s: SparkSession, d: str) -> DataFrame:
     gold = table(s, d, "gold").select("gold_id", F.explode("relevant_chunk_ids").alias("id")).distinct()
-    files = each_chunk(s, d).select("id", "file")
+    files = corpus_rows(table(s, d, "chunks")).groupBy("id").agg(F.min(F.struct("code", "file")).alias("c")).select("id", "c.file")
     repo = F.split("file", "/")[0]
-    return gold.join(files, "id").select("gold_id", F.coalesce(F.when(F.size(F.split("file", "/")) > 1, F.split("file", "/")[1]), repo).alias("module")).groupBy("gold_id").agg(F.array_join(F.array_sort(F.collect_set("module")), ",").alias("modules"))
+    modules = gold.join(files, "id").select("gold_id", F.coalesce(second_part(), repo).alias("module")).distinct()
+    # a gold set is as long as its question's list
+    return modules.groupBy("gold_id").agg(F.array_join(F.array_sort(F.collect_list("module")), ",").alias("modules"))
 
 
 def module_of_path(s: SparkSession, d: str) -> DataFrame:
@@ -128,7 +134,18 @@ def second_part():
 
 def ab_manifest(s: SparkSession, d: str) -> DataFrame:
     m = abtest.manifest(table(s, d, "chunks"), MODULES, second_part())
-    return m.select("kept_chunks", "dropped_chunks", F.array_join(F.transform(F.array(*[F.lit(x) for x in sorted(MODULES)]), lambda k: F.concat(k, F.lit("="), F.element_at(F.col("dropped_by_module"), k).cast("string"))), ",").alias("by_module"), F.size("dropped_files").alias("n_files"), F.md5(F.array_join("dropped_files", "\n")).alias("files_md5"))
+    by = F.transform(F.array(*[F.lit(x) for x in sorted(MODULES)]), lambda k: F.concat(k, F.lit("="), F.element_at(F.col("dropped_by_module"), k).cast("string")))
+    return m.select("kept_chunks", "dropped_chunks", F.array_join(by, ",").alias("by_module"), F.col("dropped_files").alias("n_files"))
+
+
+def ab_dropped_files(s: SparkSession, d: str) -> DataFrame:
+    return abtest.dropped_files(table(s, d, "chunks"), MODULES, second_part())
+
+
+def ab_partial_corpus(s: SparkSession, d: str) -> DataFrame:
+    """The surviving rows, as they would be written for the partial corpus."""
+    rows = abtest.partial_corpus(table(s, d, "chunks"), MODULES, second_part())
+    return rows.select("id", "file", F.md5("text").alias("text_md5")).distinct()
 
 
 def ab_dropped(s: SparkSession, d: str) -> DataFrame:
@@ -136,28 +153,29 @@ def ab_dropped(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ab(s: SparkSession, d: str) -> DataFrame:
-    """(q, excluded, complete_hit, partial_hit, ungrounded): lexical search over the corpus with and without the modules.
+    """(q, excluded, complete_hit, partial_hit, ungrounded): hybrid search over the corpus with and without the modules.
 
-    Two searches, each with the idf and mean length of its own corpus; the answer is the files of the partial hits.
+    Two searches, the second over the kept documents with their own weights and
+    lengths. In place of a model's text, the answer is the source lines of the
+    partial hits; gold that was retrieved itself is taken out before the citations are held against it.
     """
-    asked = questions(s, d)
+    index, asked = search_index(s, d), checkpointed(questions(s, d))
+    chunks, out = table(s, d, "chunks"), F.coalesce(second_part().isin(*MODULES), F.lit(False))
+    hits = lambda i: checkpointed(i.hybrid(chunks, asked, TOP_K).select("q", "doc", "file", "symbol"))  # noqa: E731  at most TOP_K for each question
+    complete, partial = hits(index), hits(index.restricted(~out))
     gold = table(s, d, "gold").where(F.col("gold_id").isNotNull()).select(F.col("gold_id").alias("q"), F.explode("relevant_chunk_ids").alias("doc")).where("doc is not null").distinct()
-    files = each_chunk(s, d).select(F.col("id").alias("doc"), "file", "symbol")
-    out = F.coalesce(second_part().isin(*MODULES), F.lit(False))
-    found = lambda hits: hits.join(gold.withColumn("g", F.lit(True)), ["q", "doc"], "left").withColumn("g", F.coalesce("g", F.lit(False)))
-    complete = found(lexical(s, d, 20).select("q", "doc")).groupBy("q").agg(F.max("g").alias("complete_hit"))
-    kept = lexical(s, d, 20, kept=~out).select("q", "doc").join(each_chunk(s, d, ~out).select(F.col("id").alias("doc"), "file"), "doc")
-    kept = checkpointed(kept)  # at most twenty for each question
-    partial = found(kept).groupBy("q").agg(F.max("g").alias("partial_hit"), F.array_join(F.array_sort(F.collect_set("file")), " ").alias("answer"))
-    flags = complete.join(partial, "q", "full")
-    targets = gold.join(files, "doc").withColumn("out", out)
-    of_q = targets.join(flags.select("q", "answer"), "q", "left").groupBy("q").agg(
-        F.max("out").alias("excluded"), F.max(F.col("out") & abtest.cites(F.col("answer"), F.col("file"), F.col("symbol"))).alias("ungrounded")
-    )
-    no = F.lit(False)
-    return asked.select(F.col("gold_id").alias("q")).join(flags, "q", "left").join(of_q, "q", "left").select(
-        "q", *[F.coalesce(c, no).alias(c) for c in ("excluded", "complete_hit", "partial_hit", "ungrounded")]
-    )
+    gold = checkpointed(gold.join(asked.select("q"), "q", "left_semi"))
+    line = F.concat(F.lit("  "), "file", F.lit("  "), "symbol")
+    answers = partial.groupBy("q").agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("answer"))
+    targets = gold.join(index.metadata(gold).select("doc", "file"), "doc", "left").withColumn("out", out)
+    unseen = targets.join(partial.select("q", "doc"), ["q", "doc"], "left_anti").join(answers, "q", "left")
+    named = unseen.where(abtest.cites(F.col("answer"), F.col("file"), symbol_of_id(F.col("doc"), F.col("file")))).select("q").distinct()
+    hit = lambda found, name: gold.join(found.select("q", "doc"), ["q", "doc"], "left_semi").select("q").distinct().withColumn(name, F.lit(True))
+    flags = [targets.where("out").select("q").distinct().withColumn("excluded", F.lit(True)), hit(complete, "complete_hit"), hit(partial, "partial_hit"), named.withColumn("ungrounded", F.lit(True))]
+    rows = asked.select("q")
+    for f in flags:
+        rows = rows.join(f, "q", "left")
+    return rows.select("q", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("excluded", "complete_hit", "partial_hit", "ungrounded")])
 
 
 def ab_verdicts(s: SparkSession, d: str) -> DataFrame:
@@ -193,8 +211,8 @@ def parsed_chunks(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "chunk_validate": chunk_validate, "chunk_id": chunk_ids, "dedup_ids": dedup_ids, "id_collisions": collisions, "ext_dispatch": ext_dispatch, "path_exclusion_counts": path_exclusion_counts,
     "language_stats": language_stats, "whole_file_fallback": whole_file_fallback, "point_uuid": point_uuid, "payload_sync": payload_sync, "point_upsert": point_upsert,
-    "corpus_digest": corpus_digests, "corpus_fingerprint": item_fingerprint, "orphan_gc": orphan_gc, "slugify": slugify, "strip_mentions": strip_mentions, "gold_modules": gold_modules,
-    "module_of_path": module_of_path, "symbol_from_id": symbols_of_ids, "ab_partial_manifest": ab_manifest, "ab_dropped_by_module": ab_dropped, "ab_verdicts": ab_verdicts, "verdict_counts": verdict_counts,
+    "corpus_digest": corpus_digests, "corpus_fingerprint": corpus_fingerprint, "orphan_gc": orphan_gc, "slugify": slugify, "strip_mentions": strip_mentions, "gold_modules": gold_modules,
+    "module_of_path": module_of_path, "symbol_from_id": symbols_of_ids, "ab_partial_manifest": ab_manifest, "ab_dropped_files": ab_dropped_files, "ab_partial_corpus": ab_partial_corpus, "ab_dropped_by_module": ab_dropped, "ab_verdicts": ab_verdicts, "verdict_counts": verdict_counts,
     "repo_union": repo_union, "live_chunks": latest_chunks, "parse_chunks": parsed_chunks,
 }
 
@@ -203,21 +221,24 @@ _CPP = "('.C','.cc','.cxx','.cpp','.c++','.H','.h','.hh','.hxx','.hpp','.tcc')"
 _LANG = f"case when {_EXT} in {_CPP} then 'cpp' when {_EXT} = '.py' then 'python' when {_EXT} = '.jsonnet' then 'jsonnet' when {_EXT} = '.fcl' then 'fcl' end"
 _SEG2 = "case when len(string_split(file, '/')) > 1 then string_split(file, '/')[2] end"
 _OUT = f"coalesce({_SEG2} in ('Views', 'Seeds', 'Absent'), false)"
-_NUM = """n as (select *, row_number() over (partition by base order by end_line, md5(text)) n from
-  (select distinct file, symbol, start_line, end_line, text, file || '_' || symbol || '_' || start_line base from chunks where file is not null and symbol is not null and start_line is not null)),
+_NUM = """n as (select *, row_number() over (partition by base order by first_at nulls last, end_line nulls last, md5(text) nulls last) n from
+  (select file, symbol, start_line, end_line, text, min(indexed_at) first_at, file || '_' || symbol || '_' || start_line base from chunks where file is not null and symbol is not null and start_line is not null group by all)),
 ids as (select case when n > 1 then base || '#' || n else base end id, file, symbol, start_line, md5(text) text_md5 from n)"""
 _UUID = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(chunk_id))"
 _MISSING = " , ".join(f"case when {c} is null then 'missing field: {c}' end" for c in ("id", "file", "start_line", "end_line", "symbol", "language", '"text"'))
 _MISSING = _MISSING.replace("missing field: \"text\"", "missing field: text")
-_AB = f"""with {CORPUS}, {_BM25},
-gg as (select distinct q, doc from (select gold_id q, unnest(relevant_chunk_ids) doc from gold where gold_id is not null) where doc is not null),
-hits as (select l.q, l.doc, c.file, c.symbol, {_OUT.replace('file', 'c.file')} "out", gg.doc is not null g from lex l join corpus c on c.id = l.doc left join gg on gg.q = l.q and gg.doc = l.doc),
-flags as (select q, bool_or(g) complete_hit, bool_or(g and not "out") partial_hit, string_agg(distinct file, ' ' order by file) answer from hits group by q),
-tg as (select gg.q, c.file, c.symbol, {_OUT.replace('file', 'c.file')} "out" from gg join corpus c on c.id = gg.doc),
-oq as (select t.q, bool_or("out") excluded, bool_or("out" and (coalesce(contains(answer, string_split(t.file, '/')[-1]), false) or (coalesce(contains(symbol, '::'), false) and coalesce(contains(answer, symbol), false)))) ungrounded
-       from tg t left join flags f on f.q = t.q group by t.q),
-ab as (select a.gold_id q, coalesce(excluded, false) excluded, coalesce(complete_hit, false) complete_hit, coalesce(partial_hit, false) partial_hit, coalesce(ungrounded, false) ungrounded
-       from asked a left join flags f on f.q = a.gold_id left join oq on oq.q = a.gold_id),
+_SEARCH = f"{_BM25}, {_DENSE}, {_FUSE.format(pool=10)}, {_DIVERSE.format(extra='', src='fused')}"
+# the same search over both corpora, each in its own scope
+_AB = f"""with {CORPUS}, every as (select * from corpus),
+ch as (with corpus as (select * from every), {_SEARCH} select q, doc from r2 where final_rank <= {TOP_K}),
+ph as (with corpus as (select * from every where not {_OUT}), {_SEARCH} select q, doc, file, symbol from r2 where final_rank <= {TOP_K}),
+gg as (select distinct q, doc from (select gold_id q, unnest(relevant_chunk_ids) doc from gold where gold_id in (select gold_id from asked)) where doc is not null),
+an as (select q, string_agg(distinct '  ' || file || '  ' || symbol, chr(10)) answer from ph group by q),
+tg as (select gg.q, gg.doc, c.file, regexp_replace(substr(gg.doc, length(c.file) + 2), '_[^_]*$', '') symbol, {_OUT.replace('file', 'c.file')} "out" from gg left join every c on c.id = gg.doc),
+un as (select distinct tg.q from tg join an on an.q = tg.q where not exists (select 1 from ph where ph.q = tg.q and ph.doc = tg.doc)
+       and (coalesce(contains(answer, string_split(file, '/')[-1]), false) or (coalesce(contains(symbol, '::'), false) and coalesce(contains(answer, symbol), false)))),
+ab as (select gold_id q, gold_id in (select q from tg where "out") excluded, gold_id in (select q from gg join ch using (q, doc)) complete_hit,
+       gold_id in (select q from gg join ph using (q, doc)) partial_hit, gold_id in (select q from un) ungrounded from asked),
 v as (select *, case when not complete_hit then 'complete_retrieval_miss' when excluded and partial_hit then 'leak' when excluded and ungrounded then 'hallucination_suspected'
        when excluded then 'declined_correctly' when partial_hit then 'ok' else 'partial_retrieval_miss' end verdict from ab)"""
 ORACLE = {
@@ -240,7 +261,7 @@ from (select id, chunk_id, {_UUID} h from points where chunk_id is not null)""",
     "point_upsert": """select id, coalesce(chunk_id, '') chunk_id, coalesce(embed_model, '') embed_model, strftime(upserted_at, '%Y-%m-%d %H:%M:%S') upserted from
   (select *, row_number() over (partition by id order by upserted_at desc nulls last, coalesce(chunk_id, '') desc, coalesce(embed_model, '') desc) n from points) where n = 1""",
     "corpus_digest": "select count(*) n_rows, cast(sum(cast(('0x' || substr(md5(id || chr(0) || text), 1, 15)) as hugeint)) as varchar) digest from chunks where id is not null and text is not null",
-    "corpus_fingerprint": "select substr(sha1(string_agg(id || chr(0) || text || chr(1), '' order by id, text)), 1, 12) fingerprint from (select distinct cast(item_id as varchar) id, text from eval_items where item_id is not null and text is not null)",
+    "corpus_fingerprint": "select substr(sha1(string_agg(id || chr(0) || text || chr(1), '' order by id, text)), 1, 12) fingerprint from chunks where id is not null and text is not null",
     "orphan_gc": """select name, regexp_extract(name, '^code__([0-9a-f]{12})__', 1) fingerprint, cast(regexp_extract(name, '^code__[0-9a-f]{12}__([0-9]+)', 1) as bigint) created
 from (values ('code__0a1b2c3d4e5f__1000', true), ('code__0a1b2c3d4e5f__9000_deadbeef', false), ('code__ffffffffffff__500', false), ('code', false), ('other__0a1b2c3d4e5f__10', false), ('code__xyz__7', false), ('code__00000000000f__6500', false)) v(name, live)
 where not live and regexp_matches(name, '^code__[0-9a-f]{12}__[0-9]+(_[0-9a-f]{8})?$') and 10000 - cast(regexp_extract(name, '^code__[0-9a-f]{12}__([0-9]+)', 1) as bigint) >= 3600""",
@@ -252,7 +273,9 @@ select gold_id, string_agg(distinct m, ',' order by m) modules from (select gold
     "symbol_from_id": "select distinct id, regexp_replace(substr(id, length(file) + 2), '_[^_]*$', '') symbol from chunks where id is not null and file is not null",
     "ab_partial_manifest": f"""with r as (select file, {_SEG2} m, {_OUT} "out" from chunks)
 select count(*) filter (not "out") kept_chunks, count(*) filter ("out") dropped_chunks, 'Absent=' || count(*) filter (m = 'Absent') || ',Seeds=' || count(*) filter (m = 'Seeds') || ',Views=' || count(*) filter (m = 'Views') by_module,
-  count(distinct file) filter ("out") n_files, md5(string_agg(distinct file, chr(10) order by file) filter ("out")) files_md5 from r""",
+  count(distinct file) filter ("out") n_files from r""",
+    "ab_dropped_files": f"select distinct file from chunks where {_OUT}",
+    "ab_partial_corpus": f"select distinct id, file, md5(text) text_md5 from chunks where not {_OUT}",
     "ab_dropped_by_module": f"select n.m as module, count(c.m) chunks, count(distinct c.file) files from (values ('Views'), ('Seeds'), ('Absent')) n(m) left join (select file, {_SEG2} m from chunks) c on c.m = n.m group by 1",
     "ab_verdicts": f"{_AB} select * from v",
     "verdict_counts": f"{_AB} select verdict, count(*) n from v group by 1",

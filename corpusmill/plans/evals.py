@@ -24,7 +24,7 @@ def _label_gold(s: SparkSession, d: str) -> DataFrame:
     """Relevant to a query vector are all vectors of its label."""
     e = table(s, d, "embeddings").select("vec_id", "label").distinct()
     asked = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("q"), "label")
-    return e.withColumnRenamed("vec_id", "doc").join(F.broadcast(asked), "label").select("q", "doc")
+    return e.withColumnRenamed("vec_id", "doc").join(broadcast_if_small(asked), "label").select("q", "doc")
 
 
 def _label_scores(s: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def metric_pivot(s: SparkSession, d: str) -> DataFrame:
 def gold_metrics(s: SparkSession, d: str) -> DataFrame:
     """The lexical leg against the gold sets."""
     gold = table(s, d, "gold").select(F.col("gold_id").alias("q"), F.explode("relevant_chunk_ids").alias("doc")).where("doc is not null and q is not null").distinct()
-    asked = questions(s, d).select(F.col("gold_id").alias("q"))
+    asked = questions(s, d).select("q")
     return metrics.per_query(lexical(s, d, 10).select("q", "doc", "rank"), gold.join(asked, "q", "left_semi"), asked)
 
 

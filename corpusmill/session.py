@@ -27,6 +27,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(where)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder; later plans read them from there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -10,16 +10,15 @@ neither live nor young.
 from __future__ import annotations
 
 import json
-import os
 import re
-import shutil
 import time
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusmill.sources.paths import Folder
+
 #: Fixed value: seconds that an unreferenced version is kept.
 MIN_AGE = 3600
 
@@ -45,24 +44,25 @@ def orphans(versions: DataFrame, alias: str, now: int, min_age: int = MIN_AGE) -
 class IndexStore:
     """Versions of one alias under a root folder that driver and executors share."""
 
-    def __init__(self, root: str, alias: str):
-        self.root, self.alias = Path(root), alias
-        self.root.mkdir(parents=True, exist_ok=True)
-        self.pointer = self.root / f"{alias}.pointer.json"
+    def __init__(self, spark: SparkSession, root: str, alias: str):
+        self.root, self.alias = Folder(spark, root), alias
+        self.pointer = f"{alias}.pointer.json"
 
     def live(self) -> dict | None:
         """The pointer's content: name and fingerprint."""
-        try:
-            return json.loads(self.pointer.read_text())
-        except FileNotFoundError:
-            return None
+        text = self.root.read(self.pointer)
+        return json.loads(text) if text else None
 
-    def read(self, spark: SparkSession, table: str, version: str | None = None) -> DataFrame:
-        """A table of the live version, or of a named older one."""
+    def path(self, version: str | None = None) -> str:
+        """The folder of the live version, or of a named older one."""
         name = version or (self.live() or {}).get("name")
         if name is None:
             raise LookupError(f"{self.alias} has no version")
-        return spark.read.parquet(str(self.root / name / table))
+        return self.root / name
+
+    def read(self, spark: SparkSession, table: str, version: str | None = None) -> DataFrame:
+        """A table of the live version, or of a named older one."""
+        return spark.read.parquet(f"{self.path(version)}/{table}")
 
     def rebuild(self, fingerprint: str, build: Callable[[str], None], force: bool = False) -> str:
         """Builds a version with build(path) and points to it; gives the live name. Equal fingerprints are skipped."""
@@ -70,16 +70,13 @@ class IndexStore:
         if now and now["fingerprint"] == fingerprint and not force:
             return now["name"]
         name = physical_name(self.alias, fingerprint)
-        path = self.root / name
         try:
-            path.mkdir()
-            build(str(path))
-            temporary = self.pointer.with_suffix(f".{uuid.uuid4().hex}.tmp")
-            temporary.write_text(json.dumps({"name": name, "fingerprint": fingerprint}))
-            os.replace(temporary, self.pointer)
+            self.root.make(name)
+            build(self.root / name)
+            self.root.write(self.pointer, json.dumps({"name": name, "fingerprint": fingerprint}))
         except BaseException:
             if (self.live() or {}).get("name") != name:
-                shutil.rmtree(path, ignore_errors=True)
+                self.root.remove(name)
             raise
         self.collect()
         return name
@@ -87,12 +84,12 @@ class IndexStore:
     def collect(self, min_age: int = MIN_AGE, now: float | None = None) -> list[str]:
         """Removes versions that are not live and old enough; what cannot be removed is left for the next time."""
         live, at, gone = (self.live() or {}).get("name"), time.time() if now is None else now, []
-        for p in self.root.iterdir():
-            parsed = parse_name(p.name, self.alias)
-            if parsed and p.name != live and at - parsed[1] >= min_age:
+        for name in self.root.names():
+            parsed = parse_name(name, self.alias)
+            if parsed and name != live and at - parsed[1] >= min_age:
                 try:
-                    shutil.rmtree(p)
-                    gone.append(p.name)
-                except OSError:
+                    if self.root.remove(name):
+                        gone.append(name)
+                except Exception:
                     pass
         return sorted(gone)
