@@ -218,12 +218,12 @@ def test_pairs(spark):
 def check_plan(histogram, capacity):
     solution = packing.plan(dict(histogram), capacity)
     used = Counter()
-    for pattern, n in solution:
+    for pattern, n, _ in solution:
         assert sum(s * c for s, c in pattern.items()) <= capacity
         for s, c in pattern.items():
             used[s] += c * n
     assert used == Counter({s: n for s, n in histogram.items() if n})
-    return sum(n for _, n in solution)
+    return sum(n for _, n, _ in solution)
 
 
 def test_plan_is_exact_and_tight():
@@ -240,6 +240,42 @@ def test_plan_is_exact_and_tight():
         packing.plan({101: 1}, 100)
 
 
+@pytest.mark.parametrize("n", [60, 1_000, 8_000, 10_000, 60_000])
+def test_linear_program_at_every_size(monkeypatch, n):
+    calls = []
+    real = packing._weights
+    monkeypatch.setattr(packing, "_weights", lambda *a: calls.append(1) or real(*a))
+    rng = random.Random(n)
+    histogram = Counter(min(500, 1 + int(rng.lognormvariate(3.5, 1))) for _ in range(n))
+    bins = check_plan(histogram, 500)
+    least = -(-sum(s * c for s, c in histogram.items()) // 500)
+    solution = packing.plan(dict(histogram), 500)
+    planned = sum(p.containers * sum(s * c for s, c in p.pattern.items()) for p in solution if p.by_program)
+    assert calls and bins <= 1.005 * least + 1
+    # by tokens nearly everything comes from the program
+    assert planned >= (0.9 if n > 100 else 0.5) * sum(s * c for s, c in histogram.items())
+
+
+def test_stretches_change_no_count(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["hit", " ", "  ", "\n", "\n\n", "\t", "'s", "42", "-- ", "é", "\u3000", "_x"]) for _ in range(400)) for _ in range(30)] + ["x" * 900, " " * 900]
+    count = packing._tokenizer(packing.TOKENIZER)
+    whole = [count(t) for t in texts]
+    monkeypatch.setattr(packing, "STRETCH", 40)
+    assert [count(t) for t in texts] == whole and max(len(list(packing._stretches(t))) for t in texts) > 5
+
+
+def test_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ITEMS", 7)
+    d = documents(spark, [(k, "hit wire track noise " * (1 + k % 3)) for k in range(120)] + [(500, "hit wire " * 900)])
+    got = packing.packed(d, 64).collect()
+    fill, seen = Counter(), Counter((r["doc_id"], r["piece"]) for r in got)
+    for r in got:
+        fill[r["container"]] += r["n_tokens"]
+    assert max(fill.values()) <= 64 and set(fill) == set(range(len(fill))) and max(seen.values()) == 1
+    assert {r["doc_id"] for r in got} == {*range(120), 500}
+
+
 def test_packed(spark):
     word = "hit wire track noise "
     rows = [(k, word * (k % 17)) for k in range(300)] + [(300, word * 400), (301, ""), (302, None), (5, word * 5)]
