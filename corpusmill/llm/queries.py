@@ -36,6 +36,7 @@ def queries() -> dict[str, Query]:
         "p7_fill": _documents(lambda c: packing.fill_report(packing.packed(c))),
         "p8_found": lambda spark, d: leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")),
         "p8_items": lambda spark, d: leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items")),
+        "p8_cleaned": lambda spark, d: leaks.cleaned(table(spark, d, "documents"), table(spark, d, "eval_items")),
         "p9_found": _documents(pii.found_values),
         "p9_masked": _documents(pii.masked),
     }

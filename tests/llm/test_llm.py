@@ -359,6 +359,29 @@ def test_stock_sentences_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in leaks.leaked(documents(spark, docs), i).collect()} == whole == {(k, k) for k in range(6)}
 
 
+def test_leak_spans_are_removed(spark):
+    item = " ".join(f"q{k}" for k in range(30))
+    short = "alpha beta gamma delta epsilon zeta"
+    items = spark.createDataFrame([(1, item), (2, short)], "item_id bigint, text string")
+    shown = "\n> ".join([" ".join(item.upper().split()[4:12]), " ".join(item.split()[12:24])])
+    docs = [(1, f"Before it, all is kept.\n> {shown}. After it too, all of it is kept as it was, word for word."), (2, f"- {item}\n- end"), (3, "nothing (of this) here"), (4, None), (5, ""), (3, "nothing (of this) here"), (6, f"so; {short.replace('gamma', 'other')}! and more of the words that stay here")]
+    got = {}
+    for r in leaks.cleaned(documents(spark, docs), items).collect():
+        got.setdefault(r["doc_id"], []).append((r["text"], r["n_spans"], r["kept"]))
+    assert got[1] == [("Before it, all is kept.\n>  After it too, all of it is kept as it was, word for word.", 1, False)]
+    assert got[2][0][2] is False and "q5" not in got[2][0][0]
+    assert got[3] == [("nothing (of this) here", 0, True)] * 2 and got[4] == [(None, 0, True)] and got[5] == [("", 0, True)]
+    assert got[6] == [("so;  and more of the words that stay here", 1, True)]
+
+
+def test_places_are_those_of_the_words():
+    rng = random.Random(11)
+    for _ in range(200):
+        text = "".join(rng.choice(["hit", "İx", "ß", " ", "\n", "\r\n", "> ", "- ", "--", ".", "é_", "\x1c", "\u3000", "(a)"]) for _ in range(30))
+        pieces = [text[a:b] for a, b in leaks.places(text)]
+        assert [re.sub(r"[\W_]+", "", p.casefold()) for p in pieces] == leaks.words(text)
+
+
 # ------------------------------------------------------------------ p9
 
 GIVEN = "Greta Milan Oskar Elif Noor Tariq Hana Viktor".split()
