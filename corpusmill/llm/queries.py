@@ -23,7 +23,7 @@ def _documents(f: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "p2_found": _chunks(lambda c: layout.machine_files(c).select("file")),
-        "p2_kinds": _chunks(lambda c: layout.machine_files(c)),
+        "p2_kinds": _chunks(layout.machine_files),
         "p3_found": _chunks(syntax.invalid_files),
         "p3_rates": _chunks(syntax.invalid_rates),
         "p4_found": _chunks(formatting.copies),

@@ -86,6 +86,43 @@ def test_layout_kinds(spark):
     }
 
 
+def test_origin_by_header_slots(spark):
+    """No marker and no known folder: only the places that ever other names fill tell."""
+    rng = random.Random(5)
+    hand = lambda k: f"int f{k}(int a) {{\n  return a + {k};\n}}\nint stage(int wire) {{ return slice(wire); }}\n"
+    tools, libraries = [f"mk{x}" for x in ("alpha", "beta", "gamma", "delta")], [f"tiny{x}" for x in ("one", "two", "three", "four")]
+    rows, want = [], set()
+
+    def add(file, text, found):
+        rows.append((str(len(rows)), file, "f", text))
+        if found:
+            want.add(file)
+
+    for k in range(40):
+        add(f"r/src/own{k}.cc", f"// Tools of the {rng.choice(['wire', 'stage', 'slice'])} group, kept here.\n" + hand(k), False)
+    for k in range(12):
+        add(f"r/src/g{k}_pb2.cc", f"// Spun out of frames.xml with {tools[k % 4]}, kept here.\n" + hand(k), True)
+        add(f"q/odd/{libraries[k % 4]}/l{k}.cc", (f"// Release 1.{k} of {libraries[k % 4]} as it is.\n" if k < 8 else "") + hand(k), True)
+    for k in range(6):
+        add(f"r/src/n{k}_pb2.cc", "// MADE ELSEWHERE, AND LOST at the next build.\n" + hand(k), True)
+        add(f"r/src/u{k}_pb2.cc", hand(k), False)
+    add("r/src/n.cc", "// MADE ELSEWHERE, AND LOST at the next build.\n" + hand(1), True)
+    add("q/odd/unnamed/x.cc", hand(2), True)  # beside folders with foreign names
+    add("r/src/mentions.cc", hand(3) + f"// not made by {tools[0]}\n", False)
+    got = {r["file"]: (r["kind"], r["by"]) for r in layout.machine_files(chunks(spark, rows)).collect()}
+    assert set(got) == want
+    assert got["r/src/g1_pb2.cc"] == ("generated", "slot") and got["q/odd/tinytwo/l1.cc"] == ("vendored", "folder") and got["r/src/n.cc"] == ("generated", "opening")
+
+
+def test_shape_of_all_rows_decides(spark):
+    # the commonest shape of the file is second in one of its rows
+    line, other = (lambda k: f"X_RUN_{k:03} = d({k}, 'r')\n"), (lambda k: f"other_value({k})\n")
+    rows = [("1", "r/a.py", "__WHOLE_FILE__", "".join(map(line, range(40)))), ("2", "r/a.py", "b", "".join(map(other, range(5))) + "".join(map(line, range(4))))]
+    rows += [("3", "r/b.py", "__WHOLE_FILE__", "".join(map(line, range(40)))), ("4", "r/b.py", "b", "".join(map(other, range(9))))]
+    got = {r["file"]: r["kind"] for r in layout.machine_files(chunks(spark, rows)).collect()}
+    assert got == {"r/a.py": "generated"}
+
+
 # ------------------------------------------------------------------ p4
 
 
