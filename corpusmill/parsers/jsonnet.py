@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from corpusmill.parsers.depth import deep
+
 _BLOCK = re.compile(r"\|\|\|-?[ \t]*\r?\n(?:[ \t]*\r?\n)*([ \t]+)[^\n]*\n(?:(?:\1[^\n]*|[ \t\r]*)\n)*[ \t]*\|\|\|")
 _TOKEN = re.compile(
     r"""[\s﻿]*(?:(?:(?:\#|//)[^\n]*|/\*.*?\*/)[\s]*)*
@@ -19,8 +21,6 @@ KEYWORDS = frozenset("assert else error false for function if import importstr i
 _BINARY = {"*": 12, "/": 12, "%": 12, "+": 11, "-": 11, "<<": 10, ">>": 10, "<": 9, ">": 9, "<=": 9, ">=": 9, "in": 9, "==": 8, "!=": 8, "&": 7, "^": 6, "|": 5, "&&": 4, "||": 3}
 _FIELD_MARKS = frozenset((":", "::", ":::", "+:", "+::", "+:::"))
 _ATOMS = frozenset(("null", "true", "false", "self", "$"))
-#: Nesting beyond this is refused, as the language's own tools do.
-MAX_DEPTH = 180
 
 
 class JsonnetError(ValueError):
@@ -64,7 +64,6 @@ class Parser:
         self.t = tokens
         self.t.append("")
         self.i = 0
-        self.depth = 0
 
     def fail(self):
         raise JsonnetError(f"token {self.i}: {self.t[self.i]!r}")
@@ -85,9 +84,6 @@ class Parser:
         return self.t[self.i] == ""
 
     def expr(self, least: int = 0):
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            self.fail()
         self.unary()
         while True:
             op = self.t[self.i]
@@ -99,7 +95,6 @@ class Parser:
                 self.i += 1
                 continue
             self.expr(power + 1)
-        self.depth -= 1
 
     def unary(self):
         t = self.t
@@ -305,9 +300,6 @@ class Parser:
 
     def object(self):
         t = self.t
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            self.fail()
         self.i += 1
         while t[self.i] != "}":
             if t[self.i] == "local":
@@ -327,13 +319,21 @@ class Parser:
                 self.comprehension()
                 break
         self.want("}")
-        self.depth -= 1
 
 
 def validate(text: str, whole: bool = True) -> bool:
     """Whether the text is a Jsonnet file, or, if not whole, one local bind or field."""
     try:
-        p = Parser(_tokens(text))
+        tokens = _tokens(text)
+    except JsonnetError:
+        return False
+    with deep(len(tokens)):
+        return _valid(tokens, whole)
+
+
+def _valid(tokens: list[str], whole: bool) -> bool:
+    try:
+        p = Parser(list(tokens))
         if whole:
             p.expr()
             return p.done()
@@ -352,16 +352,29 @@ def validate(text: str, whole: bool = True) -> bool:
             try:
                 p.field()
             except JsonnetError:
-                p = Parser(_tokens(text))
+                p = Parser(list(tokens))
                 p.expr()
                 return p.done()
         if p.t[p.i] in (",", ";"):
             p.i += 1
         return p.done()
-    except (JsonnetError, IndexError, RecursionError):
+    except (JsonnetError, IndexError):
         return False
 
 
+def bind_end(text: str) -> int | None:
+    """Where the first bind of a text that begins with local ends (before its ; or ,), None if it does not parse so far."""
+    try:
+        spans = _spans(text)
+        p = Parser([t for t, _, _ in spans])
+        with deep(len(spans)):
+            p.want("local")
+            p.bind()
+        return spans[p.i - 1][2]
+    except (JsonnetError, IndexError):
+        return None
+
+
 _COMMENT_OR_STRING = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|(\#|//|/\*)', re.S)
 
 
@@ -381,7 +394,8 @@ def leaves(text: str) -> list[tuple[str, str]]:
         raise JsonnetError
     p = Parser(tokens)
     out: list[tuple[str, str]] = []
-    _leaf_value(p, 3 if bind else 2, f"local/{tokens[1]}" if bind else tokens[0], out)
+    with deep(len(tokens)):
+        _leaf_value(p, 3 if bind else 2, f"local/{tokens[1]}" if bind else tokens[0], out)
     if p.t[p.i] == (";" if bind else ","):
         p.i += 1
     if not p.done():
@@ -391,9 +405,6 @@ def leaves(text: str) -> list[tuple[str, str]]:
 
 def _leaf_value(p: Parser, at: int, path: str, out: list) -> None:
     p.i = at
-    p.depth += 1
-    if p.depth > MAX_DEPTH:
-        p.fail()
     t = p.t
     if t[at] == "{":
         out.append((path, "{"))
@@ -429,12 +440,10 @@ def _leaf_value(p: Parser, at: int, path: str, out: list) -> None:
     else:
         p.expr()
         out.append((path, " ".join(t[at : p.i])))
-        p.depth -= 1
         return
     if t[p.i] not in (",", "}", "]", "", ";"):
         # an object or array that only begins a longer expression
         raise JsonnetError
-    p.depth -= 1
 
 
 def definitions(text: str) -> list[dict]:
@@ -442,6 +451,11 @@ def definitions(text: str) -> list[dict]:
     if not validate(text):
         return []
     spans = _spans(text)
+    with deep(len(spans)):
+        return _definitions(text, spans)
+
+
+def _definitions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     p = Parser([t for t, _, _ in spans])
     cuts: list[tuple[str, int, int]] = []
     while p.t[p.i] == "local":

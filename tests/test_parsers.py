@@ -156,3 +156,18 @@ def test_verdicts():
     assert verdict("a.fcl", "__WHOLE_FILE__", None) == (True, None)
     assert verdict("a.jsonnet", "__WHOLE_FILE__", "")[0] is False
     assert verdict("a.cc", "f", " ")[0] is False
+
+
+def test_jsonnet_nests_as_deep_as_it_likes():
+    for n in (170, 190, 20_000):
+        assert jsonnet.validate("[" * n + "1" + "]" * n) and not jsonnet.validate("[" * n + "1" + "]" * (n - 1))
+        assert jsonnet.validate("{ a: " * n + "1" + " }" * n) and jsonnet.validate("a: " + "{ a: " * n + "1" + " }" * n, False)
+        flat = "".join(f"local v{k} = {k};\n" for k in range(n)) + "v0"
+        assert jsonnet.validate(flat) and not jsonnet.validate(flat + ";") and len(jsonnet.definitions(flat)) == n
+    assert jsonnet.validate("if a then 1 else " * 5000 + "2")
+
+
+def test_jsonnet_bind_end():
+    for text in ("local f(x) = x + 1", "local f(x) = local y = [x, {a: ';'}]; y + x", "local f(x) = |||\n  a; b\n|||"):
+        assert jsonnet.bind_end(text + "; local other = 5; {a: 1}") == len(text) == jsonnet.bind_end(text)
+    assert jsonnet.bind_end("local f(x) = ") is None and jsonnet.bind_end("f(x)") is None
