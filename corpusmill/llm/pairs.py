@@ -1,23 +1,27 @@
 """Functions paired with their documentation.
 
 A state machine that knows strings and comments lexes each row; matching braces
-(indentation in Python, a complete bind in Jsonnet) delimit the function; the
-comment that ends on the line directly above it, and in Python the docstring, is
-its documentation. Empty or trivial documentation drops the function.
+delimit the function (the dedent of its body in Python, its complete bind in
+Jsonnet), and what stands behind it is left out; the comment that ends on the line
+directly above it, and in Python the docstring, is its documentation. Empty or
+trivial documentation drops the function.
 
-Defined results: a row that is no single function, has a null or empty text or a
+Defined results: a function whose end is missing goes on to the end of its text; a row that is no single function, has a null or empty text or a
 null symbol gives nothing; equal rows give one pair; a Python function with both
 a comment and a docstring has both, joined by a newline.
 """
 
 from __future__ import annotations
 
+import io
 import re
+import tokenize
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from corpusmill.parsers import jsonnet
 from corpusmill.parsers.languages import WHOLE_FILE, claimed
 from corpusmill.session import spread
 
@@ -26,7 +30,7 @@ LEAST_WORDS = 5
 
 # One match per string, comment or mark that matters.
 _C_LEX = re.compile(r'(?:u8|[uUL])?R"([^()\s\\]{0,16})\(.*?\)\1"|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|(?P<c>//[^\n]*|/\*.*?\*/)|(?P<m>[{}()\[\];=:])', re.S)
-_J_LEX = re.compile(r'@?"(?:[^"\\]|\\.)*+"|@?\'(?:[^\'\\]|\\.)*+\'|(?P<c>//[^\n]*|\#[^\n]*|/\*.*?\*/)|(?P<m>[{}()\[\];=])', re.S)
+_REST = re.compile(r"(?:[\s;]|//[^\n]*|/\*.*?\*/)*+\Z", re.S)
 _PY_HEAD = re.compile(r"(?:@[^\n]*\n[ \t]*)*(?:async[ \t]+)?def[ \t]+\w+[ \t]*(?:\[[^\]]*\][ \t]*)?\(")
 _PY_STRING = re.compile(r"""[rRuU]?("{3}|'{3}|"|')""")
 _TYPE_WORD = re.compile(r"^\s*(?:template\s*<.*?>\s*)?(?:typedef\s+)?(?:class|struct|union|enum|namespace|using|extern\s*\"C\")\b", re.S)
@@ -70,16 +74,17 @@ def _directly_above(text: str, code: int, spans: list[tuple[int, int]]) -> str:
     return text[spans[k][0] : end]
 
 
-def _cpp(text: str) -> tuple[str, str] | None:
+def _cpp(text: str) -> tuple[int, int, str] | None:
     code, spans = _leading(text, "//", True)
     if _TYPE_WORD.match(text, code) or code >= len(text):
         return None
     depth = braces = 0
-    called = False
+    called = listed = member = False
     for m in _C_LEX.finditer(text, code):
         mark = m.group("m")
         if not mark:
             continue
+        at = m.start()
         if braces == 0:
             if mark in "([":
                 depth += 1
@@ -90,26 +95,26 @@ def _cpp(text: str) -> tuple[str, str] | None:
                 if not called or depth:
                     return None
                 braces = 1
-            elif mark in ";=" and depth == 0 and "operator" not in text[code : m.start()]:
+                # behind the colon of a constructor a name before the brace is a member's
+                before = text[code:at].rstrip()[-1:]
+                member = listed and (before.isalnum() or before in "_>")
+            elif mark == ":" and called and not depth and text[at - 1] != ":" and text[at + 1 : at + 2] != ":":
+                listed = True
+            elif mark in ";=" and depth == 0 and "operator" not in text[code:at]:
                 return None
         elif mark == "{":
             braces += 1
         elif mark == "}":
             braces -= 1
-            if braces == 0:
-                rest = _leading(text[m.end() :], "//", True)[0] + m.end()
-                if text[rest:].strip(" ;\r\n\t") and not _more_initialisers(text, code, m.start()):
+            if braces == 0 and not member:
+                if not listed and not _REST.match(text, at + 1):
                     return None
-                return text[code:], _directly_above(text, code, spans)
+                return code, at + 1, _directly_above(text, code, spans)
     # a body that never closes is still one function's text, cut short
-    return (text[code:], _directly_above(text, code, spans)) if braces else None
+    return (code, len(text), _directly_above(text, code, spans)) if braces or member else None
 
 
-def _more_initialisers(text: str, code: int, at: int) -> bool:
-    return ":" in text[code:at]
-
-
-def _python(text: str) -> tuple[str, str] | None:
+def _python(text: str) -> tuple[int, int, str] | None:
     code, spans = _leading(text, "#", False)
     m = _PY_HEAD.match(text, code)
     if not m:
@@ -118,7 +123,38 @@ def _python(text: str) -> tuple[str, str] | None:
     doc = _docstring(text, m.end() - 1)
     if doc:
         notes.append(doc)
-    return text[code:], "\n".join(x for x in notes if x)
+    return code, -1, "\n".join(x for x in notes if x)
+
+
+def _python_end(text: str, code: int) -> int:
+    """Where the function that begins at a place ends: with its last line before the dedent."""
+    body = text[code:]
+    starts = [0]
+    for line in body.splitlines(keepends=True):
+        starts.append(starts[-1] + len(line))
+    depth, seen, end = 0, False, None
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(body, newline="").readline):
+            if t.type == tokenize.INDENT:
+                depth += 1
+            elif t.type == tokenize.DEDENT:
+                depth -= 1
+                if depth == 0:
+                    break
+            elif t.type in (tokenize.NL, tokenize.COMMENT):
+                continue
+            elif depth == 0 and end is not None:
+                break  # the body was on the line of the def
+            elif t.type == tokenize.NEWLINE:
+                if seen:
+                    end = starts[t.start[0] - 1] + t.start[1]
+            elif t.string == "def" and not depth:
+                seen = True
+    except IndentationError:
+        pass  # a dedent to between two depths ends the function too
+    except (tokenize.TokenError, SyntaxError, IndexError):
+        return len(text)
+    return len(text) if end is None else code + end
 
 
 def _docstring(text: str, at: int) -> str:
@@ -179,24 +215,47 @@ def _string_end(text: str, at: int, quote: str) -> int:
 _J_HEAD = re.compile(r"local\s+[A-Za-z_]\w*\s*\(")
 
 
-def _jsonnet(text: str) -> tuple[str, str] | None:
+def _jsonnet(text: str) -> tuple[int, int, str] | None:
     code, spans = _leading(text, "// #", True)
     if not _J_HEAD.match(text, code):
         return None
-    return text[code:], _directly_above(text, code, spans)
+    return code, -1, _directly_above(text, code, spans)
+
+
+def _jsonnet_end(text: str, code: int) -> int:
+    end = jsonnet.bind_end(text[code:])
+    if end is None:
+        return len(text)
+    # its semicolon belongs to it
+    rest = _SEMICOLON.match(text, code + end)
+    return rest.end() if rest else code + end
 
 
 _EXTRACT = {"cpp": _cpp, "python": _python, "jsonnet": _jsonnet}
+_END = {"python": _python_end, "jsonnet": _jsonnet_end}
+_SEMICOLON = re.compile(r"\s*;")
 
 
-def extract(file: str | None, symbol: str | None, text: str | None) -> tuple[str, str] | None:
-    """(code, documentation as written) if the row is one function or method."""
+def _place(file: str | None, symbol: str | None, text: str | None) -> tuple[str, str, int, int, str] | None:
+    """(language, text, first place of the code, its end or -1 if not yet known, documentation) if the row is one function or method."""
     if not text or not symbol or symbol == WHOLE_FILE:
         return None
     language = claimed(file)
     if language not in _EXTRACT:
         return None
-    return _EXTRACT[language](text.replace("\r\n", "\n"))
+    text = text.replace("\r\n", "\n")
+    found = _EXTRACT[language](text)
+    return (language, text, *found) if found else None
+
+
+def _code(language: str, text: str, start: int, end: int) -> str:
+    return text[start : end if end >= 0 else _END[language](text, start)]
+
+
+def extract(file: str | None, symbol: str | None, text: str | None) -> tuple[str, str] | None:
+    """(code, documentation as written) if the row is one function or method."""
+    found = _place(file, symbol, text)
+    return (_code(*found[:4]), found[4]) if found else None
 
 
 _EDGE = re.compile(r"^[ \t]*(?:///?[!<]*|//[!<]*|/\*+[!<]*|\*+/?|#+[!:]?)|\*+/[ \t]*$", re.M)
@@ -257,26 +316,34 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows = []
         for id_, file, symbol, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            found = extract(file, symbol, text)
-            if found and found[1] and useful(found[1], symbol):
-                rows.append((id_, file, symbol, claimed(file), found[0], plain(found[1])))
+            found = _place(file, symbol, text)
+            if found and found[4] and useful(found[4], symbol):
+                rows.append((id_, file, symbol, found[0], _code(*found[:4]), plain(found[4])))
         columns = zip(*rows) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=names)
 
 
+def _rows(chunks: DataFrame) -> DataFrame:
+    rows = chunks.where("id is not null and text is not null and symbol is not null")
+    rows = rows.where((F.col("symbol") != WHOLE_FILE) & ~F.coalesce(F.col("file").endswith(".fcl"), F.lit(False)))
+    return spread(rows.select("id", "file", "symbol", "text"))
+
+
 def pairs(chunks: DataFrame) -> DataFrame:
     """(id, file, symbol, language, code, description) of documented functions, distinct."""
-    from pyspark.sql import functions as F
+    return _rows(chunks).mapInArrow(_pair_batches, _PAIRS).distinct()
 
-    rows = chunks.where("id is not null and text is not null and symbol is not null")
-    rows = rows.where((F.col("symbol") != WHOLE_FILE) & ~F.coalesce(F.col("file").endswith(".fcl"), F.lit(False)))
-    found = spread(rows.select("id", "file", "symbol", "text")).mapInArrow(_pair_batches, _PAIRS)
-    return found.distinct()
 
+def _id_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = []
+        for id_, file, symbol, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            found = _place(file, symbol, text)
+            if found and found[4] and useful(found[4], symbol):
+                ids.append(id_)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string())], names=["id"])
 
-def documented_ids(chunks: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
 
-    rows = chunks.where("id is not null and text is not null and symbol is not null")
-    rows = rows.where((F.col("symbol") != WHOLE_FILE) & ~F.coalesce(F.col("file").endswith(".fcl"), F.lit(False)))
-    return spread(rows.select("id", "file", "symbol", "text")).mapInArrow(_pair_batches, _PAIRS).select("id").distinct()
+def documented_ids(chunks: DataFrame) -> DataFrame:
+    """(id) of the rows that pairs gives, without cutting their code out."""
+    return _rows(chunks).mapInArrow(_id_batches, "id string").distinct()

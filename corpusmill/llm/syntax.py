@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.parsers.languages import claimed, verdict
+from corpusmill.llm.grammars import verdict
+from corpusmill.parsers.languages import claimed
 from corpusmill.session import spread
 
 _CHECKED = "file string, language string, valid boolean, parses_as string"
