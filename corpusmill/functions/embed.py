@@ -10,6 +10,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -68,32 +69,36 @@ def hash_vector(text: Column) -> Column:
     return F.when(norm > 0, F.transform(sums, lambda x: (x / norm).cast("float"))).otherwise(zero.cast("array<float>"))
 
 
-def embed(rows: DataFrame, text: str, backend: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> DataFrame:
-    """Adds vector and error: batches go to the backend, a failed batch is tried text by text, a failed text is an error row."""
+def dimension(backend: Callable[[list[str]], list[list[float]]]) -> int:
+    """Length of a backend's vectors, by one probe."""
+    return len(backend(["dimension probe"])[0])
+
+
+def embed(rows: DataFrame, text: str, backend: Callable[[list[str]], list[list[float]]], batch: int = BATCH, workers: int = WORKERS) -> DataFrame:
+    """Adds vector and error: batches go to the backend, `workers` at once, a failed batch is tried text by text, a failed text is an error row."""
     columns = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
 
+    def one_batch(group: list[str]) -> list[tuple]:
+        try:
+            got = backend(group)
+            if len(got) != len(group):
+                raise ValueError("as many vectors as texts are needed")
+            return [(v, None) for v in got]
+        except Exception:
+            return [one_text(t) for t in group]
+
+    def one_text(one: str) -> tuple:
+        try:
+            return backend([one])[0], None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"[:500]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            vectors: list = []
-            errors: list = []
-            texts = frame[text].tolist()
-            for at in range(0, len(texts), batch):
-                group = texts[at : at + batch]
-                try:
-                    got = backend(group)
-                    if len(got) != len(group):
-                        raise ValueError("as many vectors as texts are needed")
-                    vectors += got
-                    errors += [None] * len(group)
-                except Exception:
-                    for one in group:
-                        try:
-                            vectors.append(backend([one])[0])
-                            errors.append(None)
-                        except Exception as e:
-                            vectors.append(None)
-                            errors.append(f"{type(e).__name__}: {e}"[:500])
-            yield frame[columns].assign(vector=vectors, error=errors)
+        with ThreadPoolExecutor(workers) as pool:
+            for frame in frames:
+                texts = frame[text].tolist()
+                done = [x for part in pool.map(one_batch, [texts[at : at + batch] for at in range(0, len(texts), batch)]) for x in part]
+                yield frame[columns].assign(vector=[v for v, _ in done], error=[e for _, e in done])
 
     return rows.mapInPandas(run, schema)

@@ -76,6 +76,12 @@ def live_inputs(points: DataFrame, chunks: DataFrame, model: str) -> DataFrame:
     return live.join(texts, "chunk_id").groupBy("key").agg(F.min("point.id").alias("point_id"), F.min_by("point.vector", "point.id").alias("vector"))
 
 
+def reuse_statistics(points: DataFrame, model: str) -> DataFrame:
+    """One row: points with a vector of the model, and those skipped for another model, none, or no vector."""
+    same = F.coalesce((F.col("embed_model") == model) & F.col("vector").isNotNull(), F.lit(False))
+    return points.agg(F.coalesce(F.sum(same.cast("bigint")), F.lit(0)).alias("usable"), F.coalesce(F.sum((~same).cast("bigint")), F.lit(0)).alias("skipped"))
+
+
 def to_embed(chunks: DataFrame, live: DataFrame) -> DataFrame:
     """Input digests that are not in the live index."""
     return embed_inputs(chunks).join(live.select("key"), "key", "left_anti")

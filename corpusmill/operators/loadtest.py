@@ -7,6 +7,7 @@ a rate over no requests is null; samples without a count or a time are skipped.
 from __future__ import annotations
 
 import subprocess
+import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor, TimeoutError as Late
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmill.schema import REQUEST
 
+#: Requests at once of the batches of a ramp.
+LEVELS = (1, 3, 5, 8, 10, 12)
+
 
 def nearest_rank(value: str, p: float) -> Column:
     """The smallest value with at least p percent of all at or below it."""
@@ -37,6 +41,11 @@ def speed(tokens: Column, nanoseconds: Column) -> Column:
     return F.try_divide(tokens.cast("double"), nanoseconds.cast("double") / 1e9)
 
 
+def answer_seconds(prompt: Column, generation: Column) -> Column:
+    """Seconds of a whole answer from the nanoseconds of its two parts."""
+    return (prompt.cast("double") + generation.cast("double")) / 1e9
+
+
 def p_yes(no: Column, yes: Column) -> Column:
     """Softmax of two logits, without overflow."""
     top = F.greatest(no, yes)
@@ -82,6 +91,55 @@ def run_level(spark: SparkSession, ask: Callable[[str], str], questions: list[st
     return spark.createDataFrame(sorted(rows), REQUEST)
 
 
+def ramp(spark: SparkSession, ask: Callable[[str], str], questions: list[str], levels: tuple[int, ...] = LEVELS, timeout: float = 120.0, monitor: Monitor | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, summary): one batch after the other, the records with their level; the summary with wall_s and peak_mem_mb of each.
+
+    The device is sampled while each batch runs.
+    """
+    records, times = None, []
+    for level in levels:
+        watch = monitor or Monitor()
+        began = time.time()
+        with watch:
+            rows = run_level(spark, ask, questions, level, timeout).withColumn("level", F.lit(level))
+        times.append((level, time.time() - began, watch.peak()))
+        records = rows if records is None else records.unionByName(rows)
+    walls = spark.createDataFrame(times, "level int, wall_s double, peak_mem_mb int")
+    return records, summary(records, ["level"]).join(F.broadcast(walls), "level")  # a row for each level
+
+
+class Monitor:
+    """Samples a device every interval while its block runs; a failing poll is a sample with an error."""
+
+    def __init__(self, interval: float = 1.0, command: tuple[str, ...] | None = None):
+        self.interval, self.command, self.samples = interval, command, []
+        self._stop = threading.Event()
+        self._thread: threading.Thread | None = None
+
+    def _poll(self) -> None:
+        while True:
+            self.samples.append(sample_device(self.command) if self.command else sample_device())
+            if self._stop.wait(self.interval):
+                return
+
+    def __enter__(self) -> Monitor:
+        self.samples = []
+        self._stop.clear()
+        self._thread = threading.Thread(target=self._poll, daemon=True)
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._stop.set()
+        self._thread.join(self.interval + 5)
+
+    def peak(self) -> int | None:
+        return max((m for _, m, _, e in self.samples if e is None), default=None)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.samples, "t double, mem_used_mb int, util_pct int, error string")
+
+
 def sample_device(command: tuple[str, ...] = ("nvidia-smi", "--query-gpu=memory.used,utilization.gpu", "--format=csv,noheader,nounits")) -> tuple:
     """(t, mem_used_mb, util_pct, error) of one poll; a failure is a row with an error."""
     now = time.time()

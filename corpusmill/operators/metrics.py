@@ -7,7 +7,7 @@ count with 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 KS = (1, 3, 5, 10)
 
@@ -48,3 +48,10 @@ def per_query(ranked: DataFrame, gold: DataFrame, questions: DataFrame, ks=KS) -
 def macro(per: DataFrame) -> DataFrame:
     """Means over all questions, per k."""
     return per.groupBy("k").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("recall", "precision", "ndcg", "mrr")])
+
+
+def best(macros: DataFrame, measures: tuple[str, ...] = ("recall", "precision", "ndcg", "mrr")) -> DataFrame:
+    """(k, metric, model, value) of the best model of each k and metric, from macro averages with a model column; ties to the smaller name."""
+    rows = macros.select("k", "model", F.explode(F.create_map(*[x for c in measures for x in (F.lit(c), F.col(c))])).alias("metric", "value"))
+    order = Window.partitionBy("k", "metric").orderBy(F.desc("value"), "model")  # a row for each model
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("k", "metric", "model", "value")

@@ -29,6 +29,7 @@ from corpusmill.sources.store import IndexStore
 DOCS_PER_BUCKET = 100_000
 #: Places a dense score is rounded to before it is ranked.
 DENSE_PLACES = 6
+POSTINGS = "doc string, dl int, term string, tf int, bucket int"
 META = ("file", "symbol", "start_line", "end_line", "language")
 
 
@@ -113,7 +114,7 @@ class SearchIndex:
 
     def postings(self, terms: list[str]) -> DataFrame:
         """(doc, dl, term, tf) of some words, from their buckets only."""
-        rows = self.spark.read.parquet(f"{self.path}/postings")
+        rows = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")  # an empty corpus has no file to tell it
         buckets = self.spark.read.parquet(f"{self.path}/layout").first()[0]
         wanted = self.spark.createDataFrame([(t,) for t in terms], "term string").withColumn("bucket", term_bucket(F.col("term"), buckets))
         if buckets > 1:

@@ -1,4 +1,4 @@
-"""FHiCL: validation, table trees and top-level definition chunks.
+"""FHiCL: validation and top-level definition chunks.
 
 Validation works on a string with one class letter per token, reduced from the
 inside out by regular expressions, so the work per token stays in C.
@@ -91,78 +91,6 @@ def validate(text: str, whole: bool = True) -> bool:
     return depth == 0 and _DOCUMENT.match(reduced) is not None
 
 
-class TableError(ValueError):
-    """The text is not one table definition."""
-
-
-_COMMENT_OR_STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'[^\'\n]*\'|(\#|//)')
-
-
-def has_comment(text: str) -> bool:
-    return any(m.group(1) for m in _COMMENT_OR_STRING.finditer(text))
-
-
-def leaves(text: str) -> list[tuple[str, str]]:
-    """(path, value) of every leaf of a text that is one table definition.
-
-    Elements of lists have their position in the path, tables add a leaf of
-    their own, so the multiset of leaves is the table up to entry order.
-    """
-    tokens = _tokens(text)
-    if len(tokens) < 4 or tokens[1] != ":" or tokens[2] != "{":
-        raise TableError
-    out: list[tuple[str, str]] = []
-    pos = _leaf_value(tokens, 2, tokens[0], out)
-    if pos != len(tokens):
-        raise TableError
-    return out
-
-
-def _leaf_value(tokens: list[str], pos: int, path: str, out: list) -> int:
-    # (path, closing mark, position in a list or -1) of the open tables and lists
-    stack: list[list] = []
-    try:
-        while True:
-            token = tokens[pos]
-            pos += 1
-            if token == "{":
-                out.append((path, "{"))
-                stack.append([path, "}", -1])
-            elif token == "[":
-                out.append((path, "["))
-                stack.append([path, "]", 0])
-            elif token in ("}", "]", ":", ",", "(", ")"):
-                raise TableError
-            else:
-                out.append((path, token))
-            while stack:
-                top = stack[-1]
-                token = tokens[pos]
-                if token == top[1]:
-                    pos += 1
-                    stack.pop()
-                    continue
-                if top[2] < 0:
-                    if tokens[pos + 1] != ":" or not _NAME.match(token):
-                        raise TableError
-                    path = f"{top[0]}/{token}"
-                    pos += 2
-                else:
-                    if top[2] > 0 or token == ",":
-                        if token != "," or top[2] == 0:
-                            raise TableError
-                        pos += 1
-                        if tokens[pos] == "]":
-                            continue
-                    path = f"{top[0]}/{top[2]}"
-                    top[2] += 1
-                break
-            if not stack:
-                return pos
-    except IndexError:
-        raise TableError from None
-
-
 def definitions(text: str) -> list[dict]:
     """Top-level definitions with their lines; [] if the text does not parse."""
     text = text.removeprefix("﻿")

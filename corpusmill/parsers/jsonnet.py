@@ -1,4 +1,4 @@
-"""Jsonnet: a full expression parser used for validation, tables and chunks."""
+"""Jsonnet: a full expression parser used for validation and chunks."""
 
 from __future__ import annotations
 
@@ -375,77 +375,6 @@ def bind_end(text: str) -> int | None:
         return None
 
 
-_COMMENT_OR_STRING = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|(\#|//|/\*)', re.S)
-
-
-def has_comment(text: str) -> bool:
-    return any(m.group(1) for m in _COMMENT_OR_STRING.finditer(text))
-
-
-def leaves(text: str) -> list[tuple[str, str]]:
-    """(path, value) of every leaf of a text that is one field or local bind with an object literal.
-
-    Values other than objects and arrays are their tokens as they stand. Raises
-    JsonnetError if the text is anything else.
-    """
-    tokens = _tokens(text)
-    bind = len(tokens) >= 5 and tokens[0] == "local" and tokens[2] == "=" and tokens[3] == "{"
-    if not bind and not (len(tokens) >= 4 and tokens[1] in _FIELD_MARKS and tokens[2] == "{"):
-        raise JsonnetError
-    p = Parser(tokens)
-    out: list[tuple[str, str]] = []
-    with deep(len(tokens)):
-        _leaf_value(p, 3 if bind else 2, f"local/{tokens[1]}" if bind else tokens[0], out)
-    if p.t[p.i] == (";" if bind else ","):
-        p.i += 1
-    if not p.done():
-        raise JsonnetError
-    return out
-
-
-def _leaf_value(p: Parser, at: int, path: str, out: list) -> None:
-    p.i = at
-    t = p.t
-    if t[at] == "{":
-        out.append((path, "{"))
-        p.i += 1
-        while t[p.i] != "}":
-            key, mark = t[p.i], t[p.i + 1]
-            if mark not in _FIELD_MARKS or key in KEYWORDS:
-                raise JsonnetError
-            _leaf_value(p, p.i + 2, f"{path}/{key}", out)
-            if t[p.i] != ",":
-                break
-            p.i += 1
-        p.want("}")
-    elif t[at] == "[":
-        start = len(out)
-        out.append((path, "["))
-        p.i += 1
-        k = 0
-        while t[p.i] != "]":
-            _leaf_value(p, p.i, f"{path}/{k}", out)
-            k += 1
-            if t[p.i] != ",":
-                break
-            p.i += 1
-        if t[p.i] != "]":
-            # a comprehension: its tokens are the value
-            del out[start:]
-            p.i = at
-            p.array()
-            out.append((path, " ".join(t[at : p.i])))
-        else:
-            p.i += 1
-    else:
-        p.expr()
-        out.append((path, " ".join(t[at : p.i])))
-        return
-    if t[p.i] not in (",", "}", "]", "", ";"):
-        # an object or array that only begins a longer expression
-        raise JsonnetError
-
-
 def definitions(text: str) -> list[dict]:
     """Top-level local binds and the direct fields of a root object."""
     if not validate(text):

@@ -6,16 +6,21 @@ beside it; the sources stay. Questions without hits have empty sources.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusmill.functions.text import snippet
+from corpusmill.operators.fusion import Scorer
+from corpusmill.operators.searchindex import SearchIndex
+from corpusmill.session import checkpointed
 
 #: What a generator is told first; give your own.
 SYSTEM = "Answer from the code snippets only, cite file and line range of each claim, name every distinct implementation, and say so if the snippets hold no answer."
-UNAVAILABLE = "[generation unavailable"
+#: What stands in an answer's place, and chunks of a prompt.
+UNAVAILABLE, NOTHING, TOP_K = "[generation unavailable", "No relevant chunks found.", 6
 
 
 def _lines() -> Column:
@@ -67,6 +72,32 @@ def generate(rows: DataFrame, generator: Callable[[list[dict]], str]) -> DataFra
 
 
 def answers(rows: DataFrame) -> DataFrame:
-    """(q, text, failed): the answer, or a marker where it failed, and the sources below."""
-    body = F.coalesce("answer", F.concat(F.lit(UNAVAILABLE + ": "), F.coalesce("error", F.lit("")), F.lit("]")))
-    return rows.select("q", F.concat(body, F.lit("\n\nSources:\n"), "sources").alias("text"), F.col("answer").isNull().alias("failed"))
+    """(q, text, failed): the answer, or a marker where it failed, and the sources below; a fixed sentence where nothing was found."""
+    body = F.coalesce("answer", F.concat(F.lit(UNAVAILABLE + "] "), F.coalesce("error", F.lit(""))))
+    found = F.concat(body, F.lit("\n\nSources:\n"), "sources")
+    return rows.select("q", F.when(F.col("sources") == "", NOTHING).otherwise(found).alias("text"), (F.col("answer").isNull() & (F.col("sources") != "")).alias("failed"))
+
+
+def search(index: SearchIndex, chunks: DataFrame, questions: DataFrame, k: int = 10, reranker: Scorer | None = None) -> DataFrame:
+    """(q, rank, id, file, start_line, end_line, symbol, language, text, score): the best chunks of each question (q, question)."""
+    hits = checkpointed(index.hybrid(chunks, questions, k, reranker))  # at most k for each question
+    rows = hits.join(index.texts(chunks, hits), "doc")
+    return rows.select("q", "rank", F.col("doc").alias("id"), "file", "start_line", "end_line", "symbol", "language", "text", "score")
+
+
+def ask(index: SearchIndex, chunks: DataFrame, questions: DataFrame, generator: Callable[[list[dict]], str], k: int = TOP_K, reranker: Scorer | None = None) -> DataFrame:
+    """(q, text, failed): search, prompt, generation and sources in one."""
+    made = prompts(search(index, chunks, questions, k, reranker), questions)
+    asked, empty = made.where("sources <> ''"), made.where("sources = ''")
+    blank = F.lit(None).cast("string")
+    return answers(generate(asked, generator).unionByName(empty.withColumns({"answer": blank, "error": blank})))
+
+
+def warm_up(index: SearchIndex) -> bool:
+    """One search, so that the first question finds workers and files ready; False, with a warning, if it fails."""
+    try:
+        index.lexical(index.spark.createDataFrame([(0, "warm up")], "q int, question string"), 1).collect()
+        return True
+    except Exception as e:
+        warnings.warn(f"warm-up failed: {type(e).__name__}: {e}"[:500], stacklevel=2)
+        return False

@@ -11,6 +11,7 @@ from corpusmill.plans.search import CORPUS, _BM25, _DENSE, _DIVERSE, _FUSE, corp
 from corpusmill.schema import chunk_errors, chunk_id
 from corpusmill.operators.searchindex import corpus_rows
 from corpusmill.session import checkpointed, spread
+from corpusmill.sources.build import repeated_ids
 from corpusmill.sources.store import orphans as orphan_versions
 from corpusmill.sources.tables import table
 
@@ -188,12 +189,18 @@ def verdict_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def repo_union(s: SparkSession, d: str) -> DataFrame:
-    """Rows, ids and files of each repository, those of the list without any too; ids must not repeat across repositories."""
+    """Rows, ids and files of each repository, those of the list without any too."""
     c = table(s, d, "chunks").select(F.substring_index("file", "/", 1).alias("repo"), "id", "file")
     per = c.groupBy("repo", "file", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("repo").agg(F.sum("n").alias("n_rows"), F.countDistinct("id").alias("ids"), F.countDistinct("file").alias("files"))
     return table(s, d, "repos").select("repo").distinct().join(per, "repo", "left").select("repo", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n_rows", "ids", "files")])
 
 
+def shared_ids(s: SparkSession, d: str) -> DataFrame:
+    """Ids that stand on several distinct rows, which a corpus build refuses."""
+    rows = table(s, d, "chunks").select("id", "file", "start_line", F.md5("text").alias("m")).where("id is not null").distinct()
+    return repeated_ids(rows)
+
+
 def latest_chunks(s: SparkSession, d: str) -> DataFrame:
     """The index as it stands: the last row of each id that no later tombstone deleted."""
     c = table(s, d, "chunks").where("id is not null").groupBy("id").agg(F.max("indexed_at").alias("at"))
@@ -213,7 +220,7 @@ QUERIES = {
     "language_stats": language_stats, "whole_file_fallback": whole_file_fallback, "point_uuid": point_uuid, "payload_sync": payload_sync, "point_upsert": point_upsert,
     "corpus_digest": corpus_digests, "corpus_fingerprint": corpus_fingerprint, "orphan_gc": orphan_gc, "slugify": slugify, "strip_mentions": strip_mentions, "gold_modules": gold_modules,
     "module_of_path": module_of_path, "symbol_from_id": symbols_of_ids, "ab_partial_manifest": ab_manifest, "ab_dropped_files": ab_dropped_files, "ab_partial_corpus": ab_partial_corpus, "ab_dropped_by_module": ab_dropped, "ab_verdicts": ab_verdicts, "verdict_counts": verdict_counts,
-    "repo_union": repo_union, "live_chunks": latest_chunks, "parse_chunks": parsed_chunks,
+    "repo_union": repo_union, "repeated_ids": shared_ids, "live_chunks": latest_chunks, "parse_chunks": parsed_chunks,
 }
 
 _EXT = r"regexp_extract(file, '[^/.][^/]*(\.[^./]*)$', 1)"
@@ -280,6 +287,7 @@ select count(*) filter (not "out") kept_chunks, count(*) filter ("out") dropped_
     "ab_verdicts": f"{_AB} select * from v",
     "verdict_counts": f"{_AB} select verdict, count(*) n from v group by 1",
     "repo_union": "select r.repo, count(c.repo) n_rows, count(distinct c.id) ids, count(distinct c.file) files from (select distinct repo from repos) r left join (select string_split(file, '/')[1] repo, id, file from chunks) c on c.repo = r.repo group by 1",
+    "repeated_ids": "select id, count(*) n from (select distinct id, file, start_line, md5(text) m from chunks where id is not null) group by 1 having count(*) > 1",
     "live_chunks": """select id, strftime(a, '%Y-%m-%d %H:%M:%S') indexed from (select id, max(indexed_at) a from chunks where id is not null group by id)
 left join (select chunk_id id, max(deleted_at) gone from tombstones where chunk_id is not null group by 1) using (id) where gone is null or gone <= a""",
 }

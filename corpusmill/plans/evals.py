@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusmill.operators import dense, loadtest, metrics
-from corpusmill.plans.search import CORPUS, _BM25, EVERY, lexical, questions
+from corpusmill.operators import fusion
+from corpusmill.operators.topk import union
+from corpusmill.plans.search import CORPUS, _BM25, _DENSE, _FUSE, EVERY, corpus, lexical, questions
 from corpusmill.session import broadcast_if_small, checkpointed
 from corpusmill.sources.tables import table
 
@@ -54,6 +56,22 @@ def gold_metrics(s: SparkSession, d: str) -> DataFrame:
     return metrics.per_query(lexical(s, d, 10).select("q", "doc", "rank"), gold.join(asked, "q", "left_semi"), asked)
 
 
+def best_leg(s: SparkSession, d: str) -> DataFrame:
+    """The retrieval legs held against the gold sets: which is best at each k."""
+    asked = questions(s, d)
+    gold = table(s, d, "gold").select(F.col("gold_id").alias("q"), F.explode("relevant_chunk_ids").alias("doc")).where("doc is not null and q is not null").distinct().join(asked.select("q"), "q", "left_semi")
+    gold = checkpointed(gold)
+    found = dict(zip(("dense", "lexical"), corpus(s, d).legs(asked, 10)))
+    found["fused"] = fusion.fuse(found["dense"], found["lexical"])
+    macros = union([metrics.macro(metrics.per_query(r.select("q", "doc", "rank"), gold, asked.select("q"))).withColumn("model", F.lit(m)) for m, r in found.items()])
+    return metrics.best(macros)
+
+
+def gold_limit(s: SparkSession, d: str) -> DataFrame:
+    """The first questions of the gold set, as a smoke run takes them."""
+    return questions(s, d, 1).orderBy("q").limit(20)
+
+
 def _requests(s: SparkSession, d: str) -> DataFrame:
     """The event table as a request log."""
     return table(s, d, "events").select("user_id", "event_type", F.col("value").alias("latency"), (F.col("event_type") != "error").alias("success"), "ts", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
@@ -132,7 +150,7 @@ def adjacent_similarity(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "relevance_at_k": relevance_at_k, "macro_average": macro_average, "metric_pivot": metric_pivot, "gold_metrics": gold_metrics, "latency_percentiles": latency_percentiles,
+    "relevance_at_k": relevance_at_k, "macro_average": macro_average, "metric_pivot": metric_pivot, "gold_metrics": gold_metrics, "best_leg": best_leg, "gold_limit": gold_limit, "latency_percentiles": latency_percentiles,
     "throughput_medians": throughput_medians, "peak_usage": peak_usage, "rerank_probability": rerank_probability, "temp_sweep_agreement": temp_sweep, "parameter_grid": parameter_grid,
     "round_robin": round_robin, "events_per_hour": events_per_hour, "adjacent_similarity": adjacent_similarity,
 }
@@ -160,6 +178,12 @@ select metric, max(v) filter (k = 1) at_1, max(v) filter (k = 3) at_3, max(v) fi
     "gold_metrics": f"""with {CORPUS}, {_BM25}, aq as (select gold_id q from asked), rk as (select q, doc, rank from lex where rank <= 10),
 gl as (select distinct q, doc from (select gold_id q, unnest(relevant_chunk_ids) doc from gold) where doc is not null and q in (select q from aq)),
 {_METRICS.format(asked="aq", ranked="rk", gold="gl")} select * from pq""",
+    "best_leg": f"""with {CORPUS}, {_BM25}, {_DENSE}, {_FUSE.format(pool=10)}, aq as (select gold_id q from asked),
+gl as (select distinct q, doc from (select gold_id q, unnest(relevant_chunk_ids) doc from gold) where doc is not null and q in (select q from aq)),
+legs as ({" union all ".join(f"select '{m}' model, * from (with {_METRICS.format(asked='aq', ranked=f'(select * from {t} where rank <= 10)' if m != 'fused' else t, gold='gl')}, {_MACRO} select * from mc)" for m, t in (("dense", "den"), ("lexical", "lex"), ("fused", "fused")))}),
+u as (select k, model, 'recall' metric, recall v from legs union all select k, model, 'precision', "precision" from legs union all select k, model, 'ndcg', ndcg from legs union all select k, model, 'mrr', mrr from legs)
+select k, metric, model, v as value from u qualify row_number() over (partition by k, metric order by v desc, model) = 1""",
+    "gold_limit": "select gold_id q, min(question) question from gold where question is not null and gold_id is not null group by 1 order by 1 limit 20",
     "latency_percentiles": f"""with {_REQ} select k % 6 as level, count(*) n, count(*) filter (success) ok, count(*) - count(*) filter (success) failures, round(count(*) filter (success)::double / count(*), 6) rate,
   quantile_disc(latency, 0.5) filter (success) p50, quantile_disc(latency, 0.95) filter (success) p95, max(latency) filter (success) "max", round(avg(latency) filter (success), 6) "mean" from r group by 1""",
     "throughput_medians": f"with {_REQ} select event_type, round(median(k / latency), 9) tok_per_s, median(k) tokens, round(median(latency), 9) answer_s from r where coalesce(k, 0) <> 0 and coalesce(latency, 0) <> 0 group by 1",

@@ -127,6 +127,10 @@ def incremental_reuse(spark: SparkSession, d: str) -> DataFrame:
     return dense.embed_inputs(table(spark, d, "chunks")).join(live.select("key", "point_id"), "key").select("key", "n", "point_id")
 
 
+def reuse_stats(spark: SparkSession, d: str) -> DataFrame:
+    return dense.reuse_statistics(table(spark, d, "points"), MODEL)
+
+
 def to_embed(spark: SparkSession, d: str) -> DataFrame:
     return dense.to_embed(table(spark, d, "chunks"), _live(spark, d))
 
@@ -143,7 +147,7 @@ def line_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "token_counts": token_counts, "doc_lengths_stats": doc_statistics, "term_stats": term_stats, "bm25_topk": bm25_topk, "bm25_scan": bm25_scan, "cosine_topk": cosine_topk,
     "dense_hash_topk": dense_leg, "rrf_fusion": rrf_fusion, "rerank_topk": rerank_topk, "hybrid_search": hybrid_search, "dedup_file_symbol": dedup_file_symbol,
-    "context_blocks": context_blocks, "embed_dedup_stats": embed_dedup_stats, "incremental_reuse": incremental_reuse, "to_embed": to_embed, "embed_fanout": embed_fanout,
+    "context_blocks": context_blocks, "embed_dedup_stats": embed_dedup_stats, "incremental_reuse": incremental_reuse, "to_embed": to_embed, "reuse_stats": reuse_stats, "embed_fanout": embed_fanout,
     "line_counts": line_counts,
 }
 
@@ -208,6 +212,7 @@ select q, doc, row_number() over (partition by q order by score desc, doc) as ra
     "embed_dedup_stats": "select count(*) n_rows, count(distinct substr(text, 1, 6000)) distinct_inputs, count(*) - count(distinct substr(text, 1, 6000)) duplicates_skipped from chunks where text is not null",
     "incremental_reuse": f"with {_LIVE} select key, n, point_id from inputs join live using (key)",
     "to_embed": f"with {_LIVE} select key, n from inputs where key not in (select key from live)",
+    "reuse_stats": f"select count(*) filter (coalesce(embed_model = '{MODEL}' and vector is not null, false)) usable, count(*) filter (not coalesce(embed_model = '{MODEL}' and vector is not null, false)) skipped from points",
     "embed_fanout": f"with {_LIVE} select distinct c.id, point_id from chunks c join live on live.key = md5(substr(c.text, 1, 6000))",
     "line_counts": "select distinct doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as lines from documents where text is not null",
 }

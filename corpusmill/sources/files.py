@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpusmill.schema import CHUNK
+from corpusmill.sources.store import IndexStore
 
 
 def git_files(root: str, subdirs: list[str] | None = None) -> list[str]:
@@ -44,9 +45,15 @@ def source_files(spark: SparkSession, root: str, paths: list[str] | None = None,
     return rows.withColumn("path", F.concat(F.lit(repo + "/"), "path")) if repo else rows
 
 
+def _published(spark: SparkSession, path: str) -> IndexStore:
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return IndexStore(spark, parent or ".", name)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CHUNK) -> DataFrame:
-    """One object per line, blank lines skipped; absent fields are null."""
-    return spark.read.schema(schema).json(path)
+    """One object per line, blank lines skipped; absent fields are null. A path that write_jsonl published is its last version."""
+    store = _published(spark, path)
+    return spark.read.schema(schema).json(store.path() if store.live() else path)
 
 
 def read_reports(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -61,32 +68,36 @@ def read_reports(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines in a fresh folder beside the target, put in its place when complete."""
-    temporary, old = f"{path}.{uuid.uuid4().hex}.tmp", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.mode("errorifexists").json(temporary)
-    if os.path.exists(path):
-        os.replace(path, old)
-    os.replace(temporary, path)
-    subprocess.run(["rm", "-rf", old], check=False)
+    """JSON lines in a fresh folder beside the path, whose pointer is replaced when it is complete: readers find the old or the new rows."""
+    _published(df.sparkSession, path).rebuild(uuid.uuid4().hex[:12], lambda folder: df.write.mode("overwrite").json(folder), force=True)
 
 
 def write_report(rows: DataFrame, folder: str, name: str, title: str, now: float | None = None) -> tuple[str, str]:
-    """A timestamped pair of JSON and Markdown files; for result tables, which are small."""
+    """A timestamped pair of JSON and Markdown files, all rows of a result table, a row at a time on the driver."""
     stamp = time.strftime("%Y%m%d_%H%M%S", time.gmtime(now))
-    data = [r.asDict(recursive=True) for r in rows.limit(10_000).collect()]
     Path(folder).mkdir(parents=True, exist_ok=True)
     as_json, as_text = os.path.join(folder, f"{name}_{stamp}.json"), os.path.join(folder, f"{name}_{stamp}.md")
-    Path(as_json).write_text(json.dumps({"title": title, "rows": data}, indent=1, default=str))
     columns = rows.columns
-    lines = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + " - |" * len(columns)]
-    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]).replace("|", "\\|") for c in columns) + " |" for r in data]
-    Path(as_text).write_text("\n".join(lines) + "\n")
+    with open(as_json, "w", encoding="utf-8") as j, open(as_text, "w", encoding="utf-8") as t:
+        j.write(f'{{"title": {json.dumps(title)}, "rows": [')
+        t.write(f"# {title}\n\n| " + " | ".join(columns) + " |\n|" + " - |" * len(columns) + "\n")
+        for n, r in enumerate(rows.toLocalIterator()):
+            j.write((",\n" if n else "\n") + json.dumps(r.asDict(recursive=True), default=str))
+            t.write("| " + " | ".join("" if r[c] is None else str(r[c]).replace("|", "\\|") for c in columns) + " |\n")
+        j.write("\n]}\n")
     return as_json, as_text
 
 
+def write_embed_errors(rows: DataFrame, path: str) -> None:
+    """(index, id, file, chars, error) of the chunks that could not be embedded, as JSON lines; rows: id, file, text, error, and index if there is one."""
+    index = F.col("index") if "index" in rows.columns else F.lit(None).cast("bigint")
+    failed = rows.where("error is not null").select(index.alias("index"), "id", "file", F.length("text").alias("chars"), "error")
+    write_jsonl(failed, path)
+
+
 def ensure_chunks(spark: SparkSession, path: str, build) -> DataFrame | None:
     """The chunk file at path, built from build() if it is missing; None, with a warning, if that fails."""
-    if not os.path.exists(path):
+    if not os.path.exists(path) and not _published(spark, path).live():
         try:
             write_jsonl(build(), path)
         except Exception as e:

@@ -207,7 +207,7 @@ def test_reuse(spark):
 
 
 def test_store(spark, tmp_path):
-    store = IndexStore(str(tmp_path), "code")
+    store = IndexStore(spark, str(tmp_path), "code")
     write = lambda n: lambda path: spark.range(n).write.parquet(f"{path}/t")
     a = store.rebuild("a" * 12, write(3))
     assert store.read(spark, "t").count() == 3 and store.rebuild("a" * 12, write(9)) == a
@@ -234,19 +234,20 @@ def test_extract_from_git(spark, tmp_path):
     put("h.h", "int h() { return 2; }\n")
     put("u.txt", "unknown")
     put("bad.py", b"x = '\xff\n")
-    for p in ("test/t.cc", "x/Genfit/v.cc", "fcl/y/fcldirs/calib/c.fcl", "z/prod_a.fcl"):
+    rules = (("tests", r"(^|/)test/"), ("outside", r"(^|/)deps/"), ("tables", r"/tables/"), ("jobs", r"/prod[^/]*\.fcl$"))
+    for p in ("test/t.cc", "x/deps/v.cc", "fcl/y/tables/c.fcl", "z/prod_a.fcl"):
         put(p, "x: 1\n")
     put("untracked.py", "def no(): pass\n")
     subprocess.run("git init -q . && git add -A && git rm -q --cached untracked.py", shell=True, cwd=root, check=True)
     files = sources.source_files(spark, str(root), sources.git_files(str(root)))
-    got = corpus.numbered(corpus.extract(files), [F.col("ord")]).collect()
+    got = corpus.numbered(corpus.extract(files, rules), [F.col("ord")]).collect()
     by = {(r["file"], r["symbol"]): r for r in got}
     assert {k for k in by} == {("a.py", "f"), ("b.cc", "A"), ("b.cc", "g"), ("c.fcl", "x"), ("d.fcl", "__WHOLE_FILE__"), ("h.h", "h"), ("bad.py", "__WHOLE_FILE__")}
     assert by["d.fcl", "__WHOLE_FILE__"]["end_line"] == 2 and by["d.fcl", "__WHOLE_FILE__"]["fallback"]
     ids = [r["id"] for r in got]
     assert len(ids) == len(set(ids)) and "b.cc_A_1#2" in ids and all(r["id"].startswith(r["file"]) for r in got)
-    counts = {r["rule"]: r["files"] for r in corpus.exclusion_counts(files.withColumnRenamed("path", "file")).collect()}
-    assert counts == {"test-dirs": 1, "vendored": 1, "calib-constant-tables": 1, "prod-job-permutations": 1}
+    counts = {r["rule"]: r["files"] for r in corpus.exclusion_counts(files.withColumnRenamed("path", "file"), rules).collect()}
+    assert counts == {"tests": 1, "outside": 1, "tables": 1, "jobs": 1} and corpus.extract(files).count() == corpus.extract(files, rules).count() + 4
     named = sources.source_files(spark, str(root), ["a.py"], repo="one")
     assert [r["path"] for r in named.collect()] == ["one/a.py"]
 
@@ -266,21 +267,23 @@ def test_jsonl_and_reports(spark, tmp_path):
 
 
 def test_answers(spark):
-    hits = spark.createDataFrame([(1, 2, "b.cc", 3, 4, "g", "y" * 5000), (1, 1, "a.cc", 1, 2, "f", "x")], "q int, rank int, file string, start_line int, end_line int, symbol string, text string")
+    hits = spark.createDataFrame([(1, 2, "b.cc", 3, 4, "g", "cpp", "y" * 5000), (1, 1, "a.cc", 1, 2, "f", None, "x")], "q int, rank int, file string, start_line int, end_line int, symbol string, language string, text string")
     asked = spark.createDataFrame([(1, "why"), (2, "none")], "q int, question string")
     made = answer.prompts(hits, asked)
     row = {r["q"]: r for r in made.collect()}
     user = row[1]["messages"][-1]["content"]
-    assert user.index("### a.cc L1-2 (f)\n```\nx\n```") < user.index("### b.cc L3-4 (g)") and user.count("y") - "why".count("y") == 2000
-    assert row[1]["sources"] == "  a.cc L1-2 (f)\n  b.cc L3-4 (g)" and row[2]["sources"] == ""
+    assert user.index("### a.cc L1-2  (f)\n```\nx\n```") < user.index("### b.cc L3-4  (g)\n```cpp\ny") and user.count("y") - "why".count("y") == 2000
+    assert row[1]["sources"] == "  a.cc  L1-2  f\n  b.cc  L3-4  g" and row[2]["sources"] == ""
 
     def model(messages):
-        if "none" in messages[-1]["content"]:
+        if "fail" in messages[-1]["content"]:
             raise RuntimeError("down")
         return "because"
 
-    got = {r["q"]: r for r in answer.answers(answer.generate(made, model)).collect()}
-    assert got[1]["text"].startswith("because\n\nSources:\n  a.cc") and got[2]["failed"] and "down" in got[2]["text"]
+    more = answer.prompts(hits.unionByName(hits.withColumn("q", F.lit(3))), asked.unionByName(spark.createDataFrame([(3, "fail")], "q int, question string")))
+    got = {r["q"]: r for r in answer.answers(answer.generate(more, model)).collect()}
+    assert got[1]["text"].startswith("because\n\nSources:\n  a.cc") and got[3]["failed"] and got[3]["text"].startswith("[generation unavailable] RuntimeError: down\n\nSources:\n  a.cc")
+    assert got[2]["text"] == "No relevant chunks found." and not got[2]["failed"]
 
 
 def test_streams(spark, tmp_path):
