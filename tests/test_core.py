@@ -12,7 +12,7 @@ from corpusmill.functions.embed import embed, hash_vector
 from corpusmill.functions.hashing import corpus_digest, fingerprint, uuid5
 from corpusmill.functions.text import TOKEN, extension, line_count, slug, tokens, without_mentions
 from corpusmill.operators import abtest, bm25, corpus, dense, fusion, loadtest, metrics, sessions
-from corpusmill.operators.skew import join_counted
+from corpusmill.operators.skew import join_counted, join_split
 from corpusmill.plans import answer
 from corpusmill.schema import CHUNK, chunk_errors, chunk_id
 from corpusmill.sources import files as sources
@@ -177,6 +177,9 @@ def test_skewed_join(spark, monkeypatch):
     groups = rows.groupBy("g").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n"))
     got = join_counted(rows, groups, "g", "n", "id")
     assert got.count() == 60 and got.where("g = 'h' and m = 0").count() == 40
+    want = {tuple(r) for r in join_split(rows, groups, "g", "n", "id").collect()}
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 2)
+    assert {tuple(r) for r in join_split(rows, groups, "g", "n", "id").select("g", "id", "m").collect()} == want and len(want) == 60
 
 
 def test_embedding(spark):
