@@ -1,12 +1,15 @@
 """Personal information in free text, by bootstrapped contextual extraction.
 
 Candidates are pieces of the right shape. Some are seeds: a number behind a
-label, a name behind a title or before an address in angle brackets. Seeds
-induce lexical patterns (the words before and after); pattern and instance
-scores are computed in turn over the pattern-instance graph by Spark, so that
-trusted patterns find identifiers that nothing labels, and the given and family
-names found in them find names in contexts never seen. What scores high enough
-comes out with its exact place and can be replaced by a typed placeholder.
+label, a name behind a title or before an address in angle brackets, an email
+address with its sign, a postal address with state and code. Seeds induce lexical
+patterns (the words before and after); pattern and instance scores are computed in
+turn over the pattern-instance graph by Spark, so that trusted patterns find
+identifiers that nothing labels: disguised email addresses, postal addresses of
+other countries and of streets without a street's name, plain numbers. The given
+and family names and the forms found in them find more in contexts never seen. What
+scores high enough comes out with its exact place and can be replaced by a typed
+placeholder.
 
 Defined results: null or empty texts hold nothing; documents that come again
 under another id are listed under each; overlapping finds keep the best, then
@@ -16,12 +19,14 @@ the longest, then the first.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.session import broadcast_if_small, checkpointed, spread
+from corpusmill.operators.skew import join_split
+from corpusmill.session import checkpointed, spread
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 #: Rounds of scoring, and the least score of a find.
@@ -52,6 +57,15 @@ ADDRESS = re.compile(
     rf"|(?<![\w.,-])\d{{1,5}}(?:[ \t]*(?:bis|ter|[a-z]))?,?{_GAP}(?P<fr>{_STREET_FR})\b{_GAP}(?:[\w'’-]+{_GAP}){{0,4}}?[\w'’-]+{_SEP}\d{{4,5}}{_GAP}{_TOWN}"
     rf"|(?<![\w-])(?:{_PREFIX_DE}[ \t]+)?(?P<de>[^\W\d_a-z][^\W\d_]*(?:-[^\W\d_]+)*{_STREET_DE}|[^\W\d_a-z][^\W\d_]+-?(?:Stra(?:ß|ss)e|Str\.|Weg|Allee|Platz|Gasse)){_GAP}\d{{1,4}}[ \t]?[a-z]?\b{_SEP}(?:D-|A-|CH-)?\d{{4,5}}{_GAP}{_TOWN}"
 )
+# Weaker forms, without a word that streets have: only their contexts tell.
+WEAK_ADDRESS = re.compile(
+    rf"(?<![\w.,-])\d{{1,5}}[a-zA-Z]?{_GAP}(?:[^\W\d_a-z][\w'’-]*{_GAP}){{0,3}}[^\W\d_a-z][\w'’-]*{_SEP}{_TOWN}(?:,?{_GAP}[A-Z]{{2}}\.?)?{_GAP}\d{{5}}(?:-\d{{4}})?\b"
+    rf"|(?<![\w-])(?:{_PREFIX_DE}[ \t]+)?[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+)?{_GAP}\d{{1,4}}[ \t]?[a-z]?\b{_SEP}(?:D-|A-|CH-)?\d{{4,5}}{_GAP}{_TOWN}"
+)
+# Every form has a code of four or five digits next to a town, every number a run of six digits and marks: what is looked for is looked for there.
+_CODE = re.compile(r"(?:,\s*|\n[ \t]*)(?:D-|A-|CH-)?\d{4,5}\s+[^\W\d_a-z]|[^\W\d_]\.?\s+\d{5}(?!\d)")
+_DIGITS = re.compile(r"\d[\d .\-/()]{4,}\d")
+_AT_SIGN = re.compile(r"@|[(\[{<]at[)\]}>]|[ \t]AT[ \t]|[ \t\[(]dot[ \t\])]", re.I)
 _TITLE = re.compile(r"(?:\b(?:Mrs?|Ms|Miss|Mx|Dr|Prof|Professor|Herr|Frau|Mme|M|Sra?|Señora?)\.?(?:[ \t]+(?:Dr|Prof)\.)?)[ \t]+$")
 _PHONE_LABEL = re.compile(r"(?:\b(?:tel(?:ephone)?|phone|mobile|cell|fax|call(?: me)?(?: at| on)?|handy|t[ée]l[ée]phone|tel[ée]fono)\b)[ \t]*(?:number|no\.?|nr\.?|:|\.|is)*[ \t:.]*$", re.I)
 _ID_LABEL = re.compile(
@@ -59,8 +73,7 @@ _ID_LABEL = re.compile(
     re.I,
 )
 _CONTEXT = re.compile(r"\x02|[^\W\d_]+|\d+|\n|[^\w\s]")
-_MAYBE_EMAIL = re.compile(r"@|[(\[{<]at[)\]}>]|[ \t]AT[ \t]|[ \t\[(]dot[ \t\])]", re.I)
-_MONTHS = frozenset("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
+_CALENDAR = frozenset("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
 
 _COLUMNS = ("doc_id bigint, digest bigint, start int, stop int, hint string, found string, seed string, shape string, left_words string, left_caps string, "
             "right_words string, around string, given string, family string, reversed boolean")
@@ -68,12 +81,13 @@ _COLUMNS = ("doc_id bigint, digest bigint, start int, stop int, hint string, fou
 
 def _words(text: str) -> list[str]:
     """Words, numbers, marks and line breaks; an email address is one word."""
-    if _MAYBE_EMAIL.search(text):
+    if _AT_SIGN.search(text):
         text = EMAIL.sub(" \x02 ", text.replace("\x02", " "))
     return _CONTEXT.findall(text)
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str, str, str]:
+def _context(text: str, start: int, end: int, marks: bool = False) -> tuple[str, str, str, str]:
+    """The contexts of a place; with marks, those that consist of marks and capitals only say something too."""
     before, after = text[max(0, start - 90) : start], text[end : end + 90]
     left, right = _words(before)[-2:], _words(after)[:2]
 
@@ -89,7 +103,7 @@ def _context(text: str, start: int, end: int) -> tuple[str, str, str, str]:
     # marks and line breaks alone say nothing about what stands between them
     return (
         " ".join(map(plain, left)) if telling(left) else "",
-        " ".join(map(caps, left)) if telling([t for t in left if not t[:1].isupper()]) else "",
+        " ".join(map(caps, left)) if marks or telling([t for t in left if not t[:1].isupper()]) else "",
         " ".join(map(plain, right)) if telling(right) else "",
         " ".join([*map(plain, left[-1:]), "_", *map(plain, right[:1])]) if telling(left[-1:] + right[:1]) else "",
     )
@@ -99,29 +113,63 @@ def _shape(found: str) -> str:
     return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", " ".join(found.split())))
 
 
+def _form(found: str) -> str:
+    """The marks of an email address, whatever its words are."""
+    return "@" if "@" in found else re.sub(r"[\w+-]+", "", re.sub(r"(?i)\b(at|dot)\b", lambda m: {"at": "%", "dot": "&"}[m.group().lower()], found)).replace(" ", "")
+
+
+def _emails(text: str) -> Iterator[re.Match]:
+    """Email addresses, looked for in the lines that have a sign of one."""
+    end = -1
+    for sign in _AT_SIGN.finditer(text):
+        if sign.start() >= end:
+            start = text.rfind("\n", 0, sign.start()) + 1
+            end = text.find("\n", sign.end())
+            end = len(text) if end < 0 else end
+            yield from EMAIL.finditer(text, start, end)
+
+
+def _near(pattern: re.Pattern, text: str, sign: re.Pattern, before: int, after: int) -> Iterator[re.Match]:
+    """What a pattern finds around its signs; every match holds a sign and goes no further from it than that."""
+    low = high = -1
+    for m in sign.finditer(text):
+        if m.start() - before > high:
+            if high >= 0:
+                yield from pattern.finditer(text, low, high)
+            low = max(0, m.start() - before)
+        high = m.end() + after
+    if high >= 0:
+        yield from pattern.finditer(text, low, high)
+
+
 def candidates(text: str) -> list[tuple]:
     """(start, stop, hint, found, seed, shape, contexts, given, family, reversed) of all pieces of a fitting shape."""
     out: list[tuple] = []
     taken: list[tuple[int, int]] = []
-    for m in EMAIL.finditer(text) if _MAYBE_EMAIL.search(text) else ():
+    for m in _emails(text):
         if m.group().casefold().startswith("git@") or text[max(0, m.start() - 6) : m.start()].endswith(("ssh://", "git://")):
             continue
-        out.append((m.start(), m.end(), "email", m.group(), "email", "", *_context(text, m.start(), m.end()), None, None, False))
+        form = _form(m.group())
+        out.append((m.start(), m.end(), "email", m.group(), "email" if form == "@" else None, form, *_context(text, m.start(), m.end(), True), None, None, False))
         taken.append(m.span())
-    for m in ADDRESS.finditer(text):
+    for m in _near(ADDRESS, text, _CODE, 400, 200):
         kind = "us" if m.group("us") else "fr" if m.group("fr") else "de"
-        street = (m.group(kind) or "").rstrip(".").casefold()
-        out.append((m.start(), m.end(), "address", m.group(), "address", f"{kind} {street if kind != 'de' else ''}", *_context(text, m.start(), m.end()), None, None, False))
+        out.append((m.start(), m.end(), "address", m.group(), "address" if kind == "us" else None, kind, *_context(text, m.start(), m.end(), True), None, None, False))
         taken.append(m.span())
+    weak = [m.span() for m in _near(WEAK_ADDRESS, text, _CODE, 400, 200)]
     taken.sort()
+    starts = [a for a, _ in taken]
 
     def free(a: int, b: int) -> bool:
-        return not any(x < b and a < y for x, y in taken)
+        k = bisect_left(starts, b)
+        return not (k and any(taken[j][1] > a for j in range(max(0, k - 3), k)))
 
-    for m in NUMBER.finditer(text):
+    for a, b in weak:
+        if free(a, b):
+            out.append((a, b, "address", text[a:b], None, "weak", *_context(text, a, b), None, None, False))
+    for m in _near(NUMBER, text, _DIGITS, 12, 80):
         found = m.group()
-        digits = sum(c.isdigit() for c in found)
-        if not 7 <= digits <= 20 or not free(*m.span()):
+        if not free(*m.span()):
             continue
         before = text[max(0, m.start() - 60) : m.start()]
         seed = None
@@ -138,22 +186,23 @@ def candidates(text: str) -> list[tuple]:
             family = first
         else:
             given, family = first, second
-        if len(given) < 2 or len(family) < 2 or given.casefold() in _MONTHS or family.casefold() in _MONTHS:
+        if len(given) < 2 or len(family) < 2 or given.casefold().rstrip(".") in _TITLES:
             continue
         upper = [w.isupper() for w in (given, family)]
-        if upper[0] != upper[1] or not all(u or re.fullmatch(r"[^\W\d_a-z][^\W\d_A-Z]+(?:['’-][^\W\d_a-z]?[^\W\d_A-Z]+)*", w) for u, w in zip(upper, (given, family))):
+        if upper[0] != upper[1] or not all(u or _PROPER.fullmatch(w) for u, w in zip(upper, (given, family))):
             continue
         start = m.start()
         if not free(start, stop):
             continue
         before, after = text[max(0, start - 24) : start], text[stop : stop + 3]
         seed = "name" if (_TITLE.search(before) or re.search(r"@author[ \t]+$", before) or re.match(r"[ \t]<\S", after)) else None
-        if given.casefold().rstrip(".") in _TITLES:
-            continue
-        out.append((start, stop, "name", text[start:stop], seed, "", *_context(text, start, stop), given.casefold(), family.casefold(), turned))
+        # the words of the calendar are names too, but no evidence by themselves
+        known = given.casefold() not in _CALENDAR and family.casefold() not in _CALENDAR
+        out.append((start, stop, "name", text[start:stop], seed, "" if known else "calendar", *_context(text, start, stop), given.casefold() if known else None, family.casefold() if known else None, turned))
     return out
 
 
+_PROPER = re.compile(r"[^\W\d_a-z][^\W\d_A-Z]+(?:['’-][^\W\d_a-z]?[^\W\d_A-Z]+)*")
 # Titles, which are no part of a name.
 _TITLES = frozenset("mr mrs ms miss mx dr prof professor herr frau mme sr sra señor señora".split())
 
@@ -180,14 +229,18 @@ _FEATURES = ["hint", "seed", "shape", *_SIGNS, "given", "family", "reversed"]
 DOUBT = 0.15
 #: What remains of a context's score for a number of a shape not yet seen as its kind.
 UNSEEN_SHAPE = 0.6
+#: Weight of the form of an email or postal address, and what remains of a calendar word's score as a name.
+FORM, CALENDAR = 0.9, 0.75
+#: What the form of an email or postal address says by itself: not enough without a context.
+FORM_ALONE = 0.45
 #: What a known given name says by itself, before a family name never seen: not enough without a context.
 GIVEN_ALONE = 0.45
 
 
 def scored(found: DataFrame) -> DataFrame:
-    """(key, first, second): for each distinct feature row of the candidates the score as name or phone, and as id_number."""
+    """(key, first, second, n): for each distinct feature row of the candidates the score as name, email, address or phone, and as id_number."""
     rows = checkpointed(
-        found.where("hint in ('number', 'name')").groupBy(*_FEATURES).agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64(*_FEATURES))
+        found.groupBy(*_FEATURES).agg(F.count(F.lit(1)).alias("n")).withColumn("key", _key())
     )
     sign = F.explode(F.map_from_arrays(F.array(*[F.lit(e) for e in _EDGES]), F.array(*[F.col(e) for e in _EDGES])))
     # each part of a double family name is known by itself
@@ -196,11 +249,12 @@ def scored(found: DataFrame) -> DataFrame:
         rows.select("key", "hint", "n", sign.alias("sign", "pattern"))
         .unionByName(rows.where("family is not null").select("key", "hint", "n", F.lit("family").alias("sign"), part.alias("pattern")))
         .where("pattern is not null and pattern <> ''")
+        .select("key", "n", "sign", F.concat_ws("\x01", "hint", "sign", "pattern").alias("pattern"))
         .distinct()
     )
     labelled = rows.select(
-        "key", "hint", "seed",
-        F.when(F.col("seed").isin("name", "phone"), 1.0).otherwise(0.0).alias("first"),
+        "key", "hint", "seed", "shape", "n",
+        F.when(F.col("seed").isin("name", "phone", "email", "address"), 1.0).otherwise(0.0).alias("first"),
         F.when(F.col("seed") == "id_number", 1.0).otherwise(0.0).alias("second"),
     )
     scores = labelled
@@ -210,8 +264,8 @@ def scored(found: DataFrame) -> DataFrame:
         weighed = edges.join(scores.select("key", right[0].alias("a"), right[1].alias("b")), "key")
         doubt = F.sum(F.col("n") * (1 - F.greatest("a", "b"))) * DOUBT + 0.5
         share = lambda mine, other: F.sum(F.col(mine) * F.col("n")) / (F.sum(F.col(mine) * F.col("n")) + F.sum(F.col(other) * F.col("n")) + doubt)
-        patterns = checkpointed(weighed.groupBy("hint", "sign", "pattern").agg(share("a", "b").alias("pa"), share("b", "a").alias("pb")))
-        felt = edges.join(broadcast_if_small(patterns), ["hint", "sign", "pattern"])
+        patterns = checkpointed(weighed.groupBy("pattern").agg(share("a", "b").alias("pa"), share("b", "a").alias("pb"), F.count(F.lit(1)).alias("rows")))
+        felt = join_split(edges, patterns, "pattern", "rows", "key")
         of = lambda e, c: F.coalesce(F.max(F.when(F.col("sign") == e, F.col(c))), F.lit(0.0))
         each = felt.groupBy("key").agg(*[of(e, c).alias(f"{e}_{c}") for e in _EDGES for c in ("pa", "pb")])
 
@@ -219,18 +273,27 @@ def scored(found: DataFrame) -> DataFrame:
             miss = F.lit(1.0)
             for e, w in _SIGNS.items():
                 miss = miss * (1 - w * F.col(f"{e}_{c}"))
+            # a weak form says nothing, however many of it are right
+            written = F.col("hint").isin("email", "address") & (F.col("shape") != "weak")
+            miss = miss * (1 - F.when(written, F.greatest(F.lit(FORM_ALONE if c == "pa" else 0.0), FORM * F.col(f"shape_{c}"))).otherwise(0.0))
             known = F.sqrt(F.col(f"given_{c}") * F.col(f"family_{c}"))
             return 1 - miss * (1 - F.greatest(known, GIVEN_ALONE * F.col(f"given_{c}")))
 
         new = labelled.join(each, "key", "left")
         # a number of a shape that is never of the kind is damped
-        damp = {c: F.when(F.col("hint") == "number", F.least(F.lit(1.0), UNSEEN_SHAPE + 3 * F.col(f"shape_{c}"))).otherwise(1.0) for c in ("pa", "pb")}
+        damp = {c: F.when(F.col("hint") == "number", F.least(F.lit(1.0), UNSEEN_SHAPE + 3 * F.col(f"shape_{c}"))).when(F.col("shape") == "calendar", CALENDAR).otherwise(1.0) for c in ("pa", "pb")}
         one = {c: F.coalesce(combined(c) * damp[c], F.lit(0.0)) for c in ("pa", "pb")}
         seeded = F.col("seed").isNotNull()
         scores = checkpointed(
-            new.select("key", "hint", "seed", F.when(seeded, F.col("first")).otherwise(one["pa"]).alias("first"), F.when(seeded, F.col("second")).otherwise(one["pb"]).alias("second"))
+            new.select("key", "hint", "seed", "shape", "n", F.when(seeded, F.col("first")).otherwise(one["pa"]).alias("first"), F.when(seeded, F.col("second")).otherwise(one["pb"]).alias("second"))
         )
-    return scores.select("key", "first", "second")
+    return scores.select("key", "first", "second", "n")
+
+
+def _key() -> Column:
+    """128 bits that tell feature rows apart, nulls from empty strings too."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in _FEATURES]
+    return F.unhex(F.md5(F.concat_ws("\x01", *parts)))
 
 
 _FINDS = "doc_id bigint, digest bigint, kind string, start int, stop int, found string"
@@ -258,19 +321,19 @@ def finds(documents: DataFrame) -> DataFrame:
     found = checkpointed(spread(rows).mapInArrow(_candidate_batches, _COLUMNS))
     scores = scored(found)
     number_kind = F.when(F.col("first") >= F.col("second"), "phone").otherwise("id_number")
-    sure = found.where("hint in ('email', 'address')").select("doc_id", "digest", F.col("hint").alias("kind"), "start", "stop", "found", F.lit(2.0).alias("score"))
     name_score = F.round("first", 2) - F.when(F.col("reversed"), 0.005).otherwise(0.0)
+    kind = F.when(F.col("hint") == "number", number_kind).otherwise(F.col("hint"))
+    # an address that is sure goes before the names and numbers inside it
+    score = F.when(F.col("hint") == "name", name_score).when(F.col("hint") == "number", F.greatest("first", "second")).otherwise(F.col("first") + F.when(F.col("shape") == "weak", 0.0).otherwise(1.0))
     guessed = (
-        found.where("hint in ('number', 'name')")
-        .withColumn("key", F.xxhash64(*_FEATURES))
-        .join(scores, "key")
-        .withColumn("kind", F.when(F.col("hint") == "name", F.lit("name")).otherwise(number_kind))
-        .withColumn("score", F.when(F.col("hint") == "name", name_score).otherwise(F.greatest("first", "second")))
-        .where(F.col("score") >= ACCEPT)
+        join_split(found.withColumn("key", _key()), scores, "key", "n", "doc_id")
+        .withColumn("kind", kind)
+        .withColumn("score", score)
+        .where(F.col("score") >= ACCEPT + F.when(F.col("hint").isin("email", "address") & (F.col("shape") != "weak"), 1.0).otherwise(0.0))
         .select("doc_id", "digest", "kind", "start", "stop", "found", "score")
     )
     # one text's finds are together no larger than the text
-    of_text = sure.unionByName(guessed).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "stop", "kind", "found", "score")).alias("spans"))
+    of_text = guessed.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "stop", "kind", "found", "score")).alias("spans"))
     return of_text.mapInArrow(_resolve, _FINDS)
 
 

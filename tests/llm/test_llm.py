@@ -494,6 +494,43 @@ def test_personal_data(spark):
     assert got == want
 
 
+def test_patterns_find_what_no_form_or_label_tells(spark):
+    rows, want = [], set()
+
+    def add(template, kind, value, found=True):
+        rows.append((len(rows), template.format(value)))
+        if found:
+            want.add((len(rows) - 1, kind, value))
+
+    for k in range(20):
+        add("Please write to {} today.", "email", f"who{k}@lab.example")
+        add("The parcel goes over to {} by noon.", "address", f"{k + 1} Old Cannery Drive, Sundvik, QX 4154{k % 10}")
+        add("We met Dr. {} there.", "name", f"Greta Wexavel{chr(97 + k)}")
+        add("Call me at {} now.", "phone", f"+1 555 555 {1000 + k}")
+    # disguised or of a form without a street's word, in these contexts
+    add("Please write to {} today.", "email", "who at lab dot example")
+    add("The parcel goes over to {} by noon.", "address", "12 Greenmere, Sundvik 41549")
+    add("It was slot {} then.", "address", "12 Greenmere, Sundvik 41549", False)
+    # words of the calendar as names, behind a title; elsewhere they are none
+    add("We met Dr. {} there.", "name", "April Wexford")
+    add("We met on {} there.", "name", "Monday Kalman", False)
+    # numbers of few and of many digits behind a label
+    add("Call me at {} now.", "phone", "12 34 56")
+    add("passport no. {} was seen.", "id_number", "123456-123456-123456-123456")
+    add("The run {} is bad.", "phone", "12 34 56", False)
+    got = {tuple(r) for r in pii.found_values(documents(spark, rows)).collect()}
+    assert got == want
+
+
+def test_pattern_graph_without_broadcasts(spark, monkeypatch):
+    from corpusmill.operators import skew
+
+    rows, want = pii_documents()
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(skew, "HOT", 3)
+    assert {tuple(r) for r in pii.found_values(documents(spark, rows)).collect()} == want
+
+
 def test_masking_keeps_the_rest(spark):
     rows, want = pii_documents()
     d = documents(spark, rows)
