@@ -63,9 +63,10 @@ WEAK_ADDRESS = re.compile(
     rf"|(?<![\w-])(?:{_PREFIX_DE}[ \t]+)?[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+)?{_GAP}\d{{1,4}}[ \t]?[a-z]?\b{_SEP}(?:D-|A-|CH-)?\d{{4,5}}{_GAP}{_TOWN}"
 )
 # Every form has a code of four or five digits next to a town, every number a run of six digits and marks: what is looked for is looked for there.
-_CODE = re.compile(r"(?:,\s*|\n[ \t]*)(?:D-|A-|CH-)?\d{4,5}\s+[^\W\d_a-z]|[^\W\d_]\.?\s+\d{5}(?!\d)")
+_CODE = re.compile(r"\d{4,5}\s+[^\W\d_a-z]|\d{5}(?![\d.])|\d{5}\.(?!\d)")
+_FRACTION = re.compile(r"\d+\.\d+")
 _DIGITS = re.compile(r"\d[\d .\-/()]{4,}\d")
-_AT_SIGN = re.compile(r"@|[(\[{<]at[)\]}>]|[ \t]AT[ \t]|[ \t\[(]dot[ \t\])]", re.I)
+_AT_SIGN = re.compile(r"@|[(\[{<]at[)\]}>]|[ \t]at[ \t]+[A-Z0-9-]+(?:\.|[ \t]*[(\[{<]dot|[ \t]+dot[ \t])", re.I)
 _TITLE = re.compile(r"(?:\b(?:Mrs?|Ms|Miss|Mx|Dr|Prof|Professor|Herr|Frau|Mme|M|Sra?|Señora?)\.?(?:[ \t]+(?:Dr|Prof)\.)?)[ \t]+$")
 _PHONE_LABEL = re.compile(r"(?:\b(?:tel(?:ephone)?|phone|mobile|cell|fax|call(?: me)?(?: at| on)?|handy|t[ée]l[ée]phone|tel[ée]fono)\b)[ \t]*(?:number|no\.?|nr\.?|:|\.|is)*[ \t:.]*$", re.I)
 _ID_LABEL = re.compile(
@@ -118,45 +119,35 @@ def _form(found: str) -> str:
     return "@" if "@" in found else re.sub(r"[\w+-]+", "", re.sub(r"(?i)\b(at|dot)\b", lambda m: {"at": "%", "dot": "&"}[m.group().lower()], found)).replace(" ", "")
 
 
-def _emails(text: str) -> Iterator[re.Match]:
-    """Email addresses, looked for in the lines that have a sign of one."""
-    end = -1
-    for sign in _AT_SIGN.finditer(text):
-        if sign.start() >= end:
-            start = text.rfind("\n", 0, sign.start()) + 1
-            end = text.find("\n", sign.end())
-            end = len(text) if end < 0 else end
-            yield from EMAIL.finditer(text, start, end)
-
-
-def _near(pattern: re.Pattern, text: str, sign: re.Pattern, before: int, after: int) -> Iterator[re.Match]:
-    """What a pattern finds around its signs; every match holds a sign and goes no further from it than that."""
-    low = high = -1
+def _around(text: str, sign: re.Pattern, before: int, after: int) -> list[tuple[int, int]]:
+    """The parts of a text around its signs, joined where they meet; what is looked for holds a sign and goes no further from it than that."""
+    out: list[tuple[int, int]] = []
     for m in sign.finditer(text):
-        if m.start() - before > high:
-            if high >= 0:
-                yield from pattern.finditer(text, low, high)
-            low = max(0, m.start() - before)
-        high = m.end() + after
-    if high >= 0:
-        yield from pattern.finditer(text, low, high)
+        low = m.start() - before
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], m.end() + after)
+        else:
+            out.append((max(0, low), m.end() + after))
+    return out
 
 
 def candidates(text: str) -> list[tuple]:
     """(start, stop, hint, found, seed, shape, contexts, given, family, reversed) of all pieces of a fitting shape."""
     out: list[tuple] = []
     taken: list[tuple[int, int]] = []
-    for m in _emails(text):
+    # no part before the sign is longer than 64 characters, none behind than 255
+    for m in (m for part in _around(text, _AT_SIGN, 90, 260) for m in EMAIL.finditer(text, *part)):
         if m.group().casefold().startswith("git@") or text[max(0, m.start() - 6) : m.start()].endswith(("ssh://", "git://")):
             continue
         form = _form(m.group())
         out.append((m.start(), m.end(), "email", m.group(), "email" if form == "@" else None, form, *_context(text, m.start(), m.end(), True), None, None, False))
         taken.append(m.span())
-    for m in _near(ADDRESS, text, _CODE, 400, 200):
+    near = _around(text, _CODE, 400, 200)
+    for m in (m for part in near for m in ADDRESS.finditer(text, *part)):
         kind = "us" if m.group("us") else "fr" if m.group("fr") else "de"
         out.append((m.start(), m.end(), "address", m.group(), "address" if kind == "us" else None, kind, *_context(text, m.start(), m.end(), True), None, None, False))
         taken.append(m.span())
-    weak = [m.span() for m in _near(WEAK_ADDRESS, text, _CODE, 400, 200)]
+    weak = [m.span() for part in near for m in WEAK_ADDRESS.finditer(text, *part)]
     taken.sort()
     starts = [a for a, _ in taken]
 
@@ -167,9 +158,10 @@ def candidates(text: str) -> list[tuple]:
     for a, b in weak:
         if free(a, b):
             out.append((a, b, "address", text[a:b], None, "weak", *_context(text, a, b), None, None, False))
-    for m in _near(NUMBER, text, _DIGITS, 12, 80):
+    for m in (m for part in _around(text, _DIGITS, 12, 80) for m in NUMBER.finditer(text, *part)):
         found = m.group()
-        if not free(*m.span()):
+        # a decimal fraction is a measure
+        if _FRACTION.fullmatch(found) or not free(*m.span()):
             continue
         before = text[max(0, m.start() - 60) : m.start()]
         seed = None
