@@ -10,6 +10,7 @@ other leg's order stands; both failing gives no rows; a null language is ''.
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,10 +24,13 @@ from corpusmill.functions.text import embed_input, snippet
 from corpusmill.operators import bm25, dense, fusion
 from corpusmill.operators.topk import blocks, union
 from corpusmill.session import broadcast_if_small, checkpointed, spread
+from corpusmill.sources.paths import Folder
 from corpusmill.sources.store import IndexStore
 
 #: Documents to a term bucket of the postings.
 DOCS_PER_BUCKET = 100_000
+#: Parts that a bucket's postings are dealt out over.
+SPREAD = 64
 #: Places a dense score is rounded to before it is ranked.
 DENSE_PLACES = 6
 POSTINGS = "doc string, dl int, term string, tf int, bucket int"
@@ -77,12 +81,13 @@ def build_index(chunks: DataFrame, store: IndexStore, fingerprint: str, embedder
         rows = _analysed(spread(corpus_rows(chunks)), embedder)
         rows.groupBy(F.col("id").alias("doc")).agg(F.min(F.struct(*parts)).alias("c")).select("doc", "c.*").write.parquet(f"{path}/documents")
         documents = spark.read.parquet(f"{path}/documents")
-        buckets = 1 + documents.count() // DOCS_PER_BUCKET
+        total = bm25.statistics(documents).first()
+        buckets = 1 + total["n"] // DOCS_PER_BUCKET
         posted = documents.select("doc", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("doc", "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
         posted = posted.withColumn("bucket", term_bucket(F.col("term"), buckets))
-        # term and document together, so that no term is one task's
-        posted.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")
+        # dealt out by document too, so that no term is one task's; sorted, so that a reader skips what it does not ask for
+        posted.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        Folder(spark, path).write("layout.json", json.dumps({"buckets": buckets, "n": total["n"], "avgdl": total["avgdl"]}))
 
     return store.rebuild(fingerprint, build, force)
 
@@ -112,10 +117,17 @@ class SearchIndex:
         rows = self.spark.read.parquet(f"{self.path}/documents")
         return rows if self.kept is None else rows.where(self.kept)
 
+    def layout(self) -> dict:
+        """The number of term buckets, and of the documents their number and mean length."""
+        text = Folder(self.spark, self.path).read("layout.json")
+        if text is None:
+            raise LookupError(f"{self.path} holds no index")
+        return json.loads(text)
+
     def postings(self, terms: list[str]) -> DataFrame:
         """(doc, dl, term, tf) of some words, from their buckets only."""
         rows = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")  # an empty corpus has no file to tell it
-        buckets = self.spark.read.parquet(f"{self.path}/layout").first()[0]
+        buckets = self.layout()["buckets"]
         wanted = self.spark.createDataFrame([(t,) for t in terms], "term string").withColumn("bucket", term_bucket(F.col("term"), buckets))
         if buckets > 1:
             asked = [r[0] for r in wanted.select("bucket").distinct().collect()]
@@ -127,7 +139,7 @@ class SearchIndex:
         """(q, doc, rank, score) for questions (q, question)."""
         rows = bm25.question_rows(questions, "q", "question")
         q_type, found = rows.schema["q"].dataType, []
-        total = bm25.statistics(self.documents()).first()
+        total = self.layout() if self.kept is None else bm25.statistics(self.documents()).first()
         for part in blocks(rows, block):
             asked = bm25.Asked(part)
             posts = self.postings(asked.terms)
