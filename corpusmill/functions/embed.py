@@ -50,12 +50,17 @@ class HashEmbedder:
             self.memo[word] = int(code[:4], 16) % DIM, 1.0 if int(code[4], 16) % 2 == 0 else -1.0
         return self.memo[word]
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def sums(self, texts: list[str | None]) -> np.ndarray:
+        """The vectors before they are scaled: whole numbers, which a short float holds exactly."""
         out = np.zeros((len(texts), DIM))
         for row, text in zip(out, texts):
             for word, n in Counter(_TOKEN.findall(text or "")).items():
                 bucket, sign = self._feature(word.lower())
                 row[bucket] += sign * n
+        return out
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        out = self.sums(texts)
         norm = np.sqrt(np.einsum("ij,ij->i", out, out))
         return out / np.where(norm > 0, norm, 1.0)[:, None]
 

@@ -52,7 +52,7 @@ def _analysed(rows: DataFrame, embedder: Callable[[], Callable]) -> DataFrame:
     """Each row with its length, words, counts and vector in place of its text."""
     given = rows.select("id", "code", *META, searched_text().alias("searched"), embed_input(F.col("text")).alias("embedded"))
     kept = [f for f in given.schema.fields if f.name not in ("searched", "embedded")]
-    schema = T.StructType([*kept, *T._parse_datatype_string("dl int, terms array<string>, tfs array<int>, vector array<double>").fields])
+    schema = T.StructType([*kept, *T._parse_datatype_string("dl int, terms array<string>, tfs array<int>, vector array<float>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = embedder()
@@ -64,9 +64,10 @@ def _analysed(rows: DataFrame, embedder: Callable[[], Callable]) -> DataFrame:
                 sizes.append(len(found))
                 terms.append(list(count))
                 tfs.append(list(count.values()))
-            vectors = np.asarray(embed(batch.column(len(kept) + 1).to_pylist()), float)
+            # a search scales the vectors anyway
+            vectors = np.asarray(getattr(embed, "sums", embed)(batch.column(len(kept) + 1).to_pylist()), np.float32)
             arrays = [batch.column(k) for k in range(len(kept))]
-            arrays += [pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), pa.array(list(vectors), pa.list_(pa.float64()))]
+            arrays += [pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), pa.array(list(vectors), pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     return given.mapInArrow(run, schema)

@@ -41,10 +41,10 @@ def test_index_equals_scan(spark, store):
     assert {tuple(r) for r in index.lexical(q, 3).collect()} == want and want
     # a block of one question each, and many term buckets
     assert {tuple(r) for r in index.lexical(q, 3, block=1).collect()} == want
-    vectors = {r["doc"]: np.array(r["vector"]) for r in index.documents().collect()}
+    vectors = {r["doc"]: np.array(r["vector"], float) for r in index.documents().collect()}
     mine = HashEmbedder()(["merge hits"])[0]
     got = {r["doc"]: r["score"] for r in index.dense(q, 9).where("q = 0").collect()}
-    assert got == {k: round(float(v @ mine), 6) for k, v in vectors.items() if v.any()}
+    assert got == {k: round(float(v @ mine / np.sqrt(v @ v)), 6) for k, v in vectors.items() if v.any()}
     # the words of a part of the corpus weigh as in that part alone
     part = {tuple(r) for r in index.restricted(F.col("file") != "r/d.cc").lexical(q, 3).collect()}
     assert part == {tuple(r) for r in bm25.search(chunks.where("id <> 'd'"), "id", text, q, "q", "question", 3).collect()} != want
