@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.operators import dense, loadtest, metrics
+from corpusmill.operators.similarity import similarity_in_order
 from corpusmill.operators import fusion
 from corpusmill.operators.topk import union
 from corpusmill.plans.search import CORPUS, _BM25, _DENSE, _FUSE, EVERY, corpus, lexical, questions
@@ -124,29 +121,9 @@ def events_per_hour(s: SparkSession, d: str) -> DataFrame:
 
 
 def adjacent_similarity(s: SparkSession, d: str) -> DataFrame:
-    """Each document with the next of its source: how alike their texts are, by matching blocks.
-
-    Windows over (source, month) keep a source that has a third of all rows apart.
-    The first document of each is also carried to the source's month before, to
-    follow its last one.
-    """
-    rows = table(s, d, "documents").where("text is not null and posted_at is not null").select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.trunc(F.col("posted_at").cast("timestamp"), "month").alias("month"), "posted_at", "text"
-    )
-    heads = rows.groupBy("source", "month").agg(F.min(F.struct("posted_at", "doc_id")).alias("head"))
-    heads = heads.withColumn("before", F.lag("month").over(Window.partitionBy("source").orderBy("month"))).where("before is not null")
-    heads = broadcast_if_small(checkpointed(heads))  # a row for each source and month
-    first = (F.col("posted_at") == F.col("head.posted_at")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
-    carried = rows.join(heads, ["source", "month"]).where(first).select("doc_id", "source", F.col("before").alias("month"), "posted_at", "text")
-    both = rows.withColumn("carried", F.lit(False)).unionByName(carried.withColumn("carried", F.lit(True)))
-    w = Window.partitionBy("source", "month").orderBy("posted_at", "doc_id")
-    pairs = both.withColumn("next", F.lead("text").over(w)).where("next is not null and not carried").select("doc_id", "text", "next")
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(SequenceMatcher(None, x, y).ratio(), 6) for x, y in zip(a, b)])
-
-    return pairs.select("doc_id", ratio("text", "next").alias("similarity"))
+    """Each document with the next of its source: how alike their texts are, by matching blocks."""
+    rows = table(s, d, "documents").where("text is not null and posted_at is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "posted_at", "text")
+    return similarity_in_order(rows, "source", ["posted_at", "doc_id"], "doc_id", "text")
 
 
 QUERIES = {
