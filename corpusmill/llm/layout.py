@@ -119,11 +119,8 @@ def _tops(chunks: DataFrame) -> DataFrame:
 def contexts(chunks: DataFrame) -> DataFrame:
     """(file, word, pattern, fits): each word of the headers with the words around it; whether it may be a foreign name by its form.
 
-    Numbers count as one word; the project's own names are first parts of paths and words of the file's name.
+    Numbers count as one word; words of the file's own name are no foreign ones.
     """
-    projects = F.collect_set(F.substring_index("file", "/", 1))
-    # a corpus has few projects: one row each in the table of repositories
-    own = frozenset(chunks.where("file is not null").agg(projects).first()[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +133,7 @@ def contexts(chunks: DataFrame) -> DataFrame:
                 t = ["^", "^", *("9" if x[0].isdigit() else x for x in _TOKEN.findall(top)), "$", "$"]
                 for k in range(2, len(t) - 2):
                     w = t[k]
-                    fits = _NAME.fullmatch(w) is not None and w not in own and w not in named
+                    fits = _NAME.fullmatch(w) is not None and w not in named
                     rows += [(file, w, f"{t[k - 2]} {t[k - 1]} _ {t[k + 1]}", fits), (file, w, f"{t[k - 1]} _ {t[k + 1]} {t[k + 2]}", fits)]
             columns = [[r[c] for r in rows] for c in range(4)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["file", "word", "pattern", "fits"])
@@ -144,6 +141,14 @@ def contexts(chunks: DataFrame) -> DataFrame:
     return _tops(chunks).mapInArrow(run, "file string, word string, pattern string, fits boolean")
 
 
+def pattern_counts(chunks: DataFrame) -> DataFrame:
+    """(pattern, word, n, fits) over all headers; the names of projects, first parts of paths, are no foreign ones."""
+    counts = contexts(chunks).groupBy("pattern", "word").agg(F.count(F.lit(1)).alias("n"), F.max("fits").alias("fits"))
+    projects = checkpointed(chunks.where("file is not null").select(F.substring_index("file", "/", 1).alias("word")).distinct())
+    marked = counts.join(broadcast_if_small(projects.withColumn("own", F.lit(True))), "word", "left")
+    return marked.select("pattern", "word", "n", (F.col("fits") & F.col("own").isNull()).alias("fits"))
+
+
 def slots(counts: DataFrame) -> DataFrame:
     """(pattern, word) of the names in the patterns that are slots, from (pattern, word, n, fits)."""
     total = counts.groupBy("pattern").agg(F.sum("n").alias("total"))
@@ -297,7 +302,7 @@ def _by_opening(chunks: DataFrame, files: DataFrame, known: DataFrame) -> DataFr
 
 def evidence(chunks: DataFrame) -> DataFrame:
     """(file, kind, by): all that tells a file is not hand-written; by: layout, marker, slot, folder or opening."""
-    counts = checkpointed(contexts(chunks).groupBy("pattern", "word").agg(F.count(F.lit(1)).alias("n"), F.max("fits").alias("fits")))
+    counts = checkpointed(pattern_counts(chunks))
     names = checkpointed(slots(counts).select("word").distinct())
     # the names of tools and libraries; their number is checked before they go along with the scan
     few = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
