@@ -40,12 +40,13 @@ def python_chunks(text: str) -> list[dict]:
     return sorted(found, key=lambda c: (c["start_line"], -c["end_line"]))
 
 
-def cpp_chunks(text: str, inline_methods: bool = False) -> list[dict]:
+def cpp_chunks(text: str, inline_methods: bool = False, strict_reference_names: bool = True) -> list[dict]:
     """Function definitions that have a name, and classes.
 
     As in the usual grammar-based chunkers, methods defined inside a class are
-    left out unless they are constructors, destructors or operators; with
-    inline_methods they come too.
+    left out unless they are constructors, destructors or operators, and functions
+    that return a reference have no name; with inline_methods the former come too,
+    without strict_reference_names the latter.
     """
     tokens = [(m.group("w") or m.group("m") or m.group("o") or '"', m.start(), m.end()) for m in _C_LEX.finditer(text) if m.lastgroup in ("w", "m", "o") or m.group()[:1] in "\"'"]
     out: list[dict] = []
@@ -66,6 +67,8 @@ def cpp_chunks(text: str, inline_methods: bool = False) -> list[dict]:
             if kind == "function" and enclosing and not inline_methods:
                 own = symbol == enclosing or symbol.startswith("~") or symbol.startswith("operator")
                 symbol = symbol if own else None
+            if kind == "function" and strict_reference_names and _returns_reference([x[0] for x in tokens[head:k]]):
+                symbol = None
             stack.append((kind, symbol, head, enclosing))
             head = k + 1
         elif t == "}" and depth == 0 and stack:
@@ -91,6 +94,22 @@ def cpp_chunks(text: str, inline_methods: bool = False) -> list[dict]:
     return sorted(out, key=lambda c: (c["start_line"], -c["end_line"]))
 
 
+def _returns_reference(words: list[str]) -> bool:
+    """Whether the declared name of a function stands behind a reference mark."""
+    level = 0
+    for i, w in enumerate(words):
+        if w == "<" and i and words[i - 1].isidentifier() and words[i - 1] != "operator":
+            level += 1
+        elif w == ">" and level:
+            level -= 1
+        elif w == "(" and level <= 0 and i:
+            j = next((x for x in range(max(0, i - 4), i) if words[x] == "operator"), i - 1)
+            while j >= 2 and words[j - 1] == "::":
+                j -= 2
+            return j > 0 and words[j - 1] == "&"
+    return False
+
+
 def _head(tokens: list, head: int, k: int) -> tuple[str, str | None]:
     """What the brace at k opens, and the symbol's name."""
     words = [t[0] for t in tokens[head:k]]

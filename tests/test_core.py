@@ -307,6 +307,23 @@ def test_streams(spark, tmp_path):
     assert {(r[0], r[1]): r[2] for r in spark.table("carried").collect()} == {(1, 1): ["a", "b"], (1, 2): ["a", "b"], (1, 3): ["a", "b"], (2, 1): ["z"]}
 
 
+def test_session_state_stream(spark, tmp_path):
+    folder, schema = str(tmp_path / "turns"), "conv bigint, turn bigint, question string, answer string, fresh array<string>"
+    rows = [(1, 1, "q1", "a1", ["a", "b"]), (1, 2, "q2", None, ["x"]), (1, 3, "q3", "a3", ["b", "c"]), (1, 4, "q4", "a4", None), (2, 1, "p1", "b1", [])]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(folder)
+
+    def run():
+        s = stream_sessions.session_state(spark.readStream.schema(schema).json(folder), 3, 1)
+        s.writeStream.foreachBatch(lambda b, n: got.update({(r[0], r[1]): tuple(r[2:]) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    got = {}
+    run()
+    assert got == {(1, 1): (1, ["a", "b"], []), (1, 2): (1, ["a", "b", "x"], ["q1", "a1"]), (1, 3): (2, ["a", "b", "c"], ["q1", "a1"]), (1, 4): (3, ["a", "b", "c"], ["q3", "a3"]), (2, 1): (1, [], [])}
+    spark.createDataFrame([(1, 5, "q5", "a5", ["d"])], schema).coalesce(1).write.mode("append").json(folder)
+    run()
+    assert got[1, 5] == (4, ["a", "b", "c"], ["q4", "a4"])
+
+
 def test_monitor_stream(spark, sf_dir, tmp_path):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     folder = tmp_path / "ev"

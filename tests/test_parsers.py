@@ -87,5 +87,11 @@ def test_jsonnet_bind_end():
     assert jsonnet.bind_end("local f(x) = ") is None and jsonnet.bind_end("f(x)") is None
 
 
+def test_functions_that_return_references():
+    text = "int& f() { return x; }\nstd::vector<int> const& A::g(int& y) { return z; }\nA& A::operator=(A const& o) { return *this; }\nint* h(int& y) { return p; }\nint k(int& y) { return y; }\n"
+    assert [c["symbol"] for c in cpp_chunks(text)] == ["h", "k"]
+    assert [c["symbol"] for c in cpp_chunks(text, strict_reference_names=False)] == ["f", "A::g", "A::operator=", "h", "k"]
+
+
 def test_claimed_language():
     assert claimed("a/b.py") == "python" and claimed("a/b.tcc") == "cpp" and claimed(None) == "cpp"
