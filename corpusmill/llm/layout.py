@@ -170,7 +170,7 @@ def _statistics(words: frozenset):
                 language, text = claimed(file), text or ""
                 top, rest = _split(text) if start is not None and start <= 1 else ("", text)
                 marker = next((k for k, m in MARKERS.items() if m.search(top)), None) if top else None
-                seen = list(words.intersection(x.lower() for x in _PLAIN.findall(rest))) if words else []
+                seen = list(words.intersection(_PLAIN.findall(rest.lower()))) if words else []
                 digest = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
                 rows.append((file, language, digest, *row_statistics(text, language), marker, seen))
             columns = zip(*rows) if rows else [[] for _ in names]
