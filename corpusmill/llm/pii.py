@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.operators.skew import join_split
-from corpusmill.session import checkpointed, spread
+from corpusmill.session import BROADCAST_ROWS, checkpointed, spread
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 #: Rounds of scoring, and the least score of a find.
@@ -229,37 +229,57 @@ FORM_ALONE = 0.45
 GIVEN_ALONE = 0.45
 
 
+def _edges(state: DataFrame) -> DataFrame:
+    """(key, n, a, b, sign, pattern): the signs of each feature row, with its scores as far as it is taken as right; each part of a double family name is one by itself."""
+    # only instances that are taken as right speak for a pattern
+    right = [F.when(F.col(c) >= ACCEPT, F.col(c)).otherwise(0.0).alias(x) for c, x in (("first", "a"), ("second", "b"))]
+    edge = lambda sign, p: F.struct(F.lit(sign).alias("sign"), p.alias("pattern"))
+    signs = F.array(*[edge(e, F.col(e)) for e in _EDGES])
+    parts = F.transform(F.array_except(F.split("family", "-"), F.array("family")), lambda p: edge("family", p))
+    rows = state.select("key", "hint", "n", *right, F.explode(F.concat(signs, F.coalesce(parts, F.array_repeat(edge("family", F.lit("")), 0)))).alias("e"))
+    return rows.where("e.pattern is not null and e.pattern <> ''").select("key", "n", "a", "b", F.col("e.sign").alias("sign"), _pattern(F.col("e.sign"), F.col("e.pattern")).alias("pattern"))
+
+
+def _pattern(sign: Column, value: Column) -> Column:
+    return F.concat_ws("\x01", F.col("hint"), sign, value)
+
+
+def _felt(state: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The state with the scores that each sign gives its rows, <sign>_pa and <sign>_pb, 0 without one.
+
+    Few patterns go to the rows, sign by sign, so that no row is shuffled; many are
+    joined with the rows' signs, hot ones dealt out.
+    """
+    scores = [f"{e}_{c}" for e in _EDGES for c in ("pa", "pb")]
+    if patterns.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        felt = join_split(_edges(state).select("key", "sign", "pattern"), patterns.drop("sign"), "pattern", "rows", "key")
+        each = felt.groupBy("key").agg(*[F.max(F.when(F.col("sign") == e, F.col(c))).alias(f"{e}_{c}") for e in _EDGES for c in ("pa", "pb")])
+        out = state.join(each, "key", "left")
+    else:
+        out = state
+        for e in _EDGES:
+            of_sign = F.broadcast(patterns.where(F.col("sign") == e).select(F.col("pattern").alias("_p"), F.col("pa").alias(f"{e}_pa"), F.col("pb").alias(f"{e}_pb")))
+            out = out.join(of_sign, _pattern(F.lit(e), F.col(e)) == F.col("_p"), "left").drop("_p")
+        # a double family name takes the best of its parts and of itself; there are no more such names than patterns
+        double = state.where("family like '%-%'").select("hint", "family", F.explode(F.split("family", "-")).alias("part"))
+        parts = double.withColumn("_p", _pattern(F.lit("family"), F.col("part"))).join(F.broadcast(patterns.select(F.col("pattern").alias("_p"), "pa", "pb")), "_p")
+        best = F.broadcast(parts.groupBy("hint", "family").agg(F.max("pa").alias("_a"), F.max("pb").alias("_b")))
+        out = out.join(best, ["hint", "family"], "left").withColumns({"family_pa": F.greatest("family_pa", "_a"), "family_pb": F.greatest("family_pb", "_b")}).drop("_a", "_b")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in scores})
+
+
 def scored(found: DataFrame) -> DataFrame:
     """(key, first, second, n): for each distinct feature row of the candidates the score as name, email, address or phone, and as id_number."""
-    rows = checkpointed(
-        found.groupBy(*_FEATURES).agg(F.count(F.lit(1)).alias("n")).withColumn("key", _key())
-    )
-    sign = F.explode(F.map_from_arrays(F.array(*[F.lit(e) for e in _EDGES]), F.array(*[F.col(e) for e in _EDGES])))
-    # each part of a double family name is known by itself
-    part = F.explode(F.array_distinct(F.split("family", "-")))
-    edges = checkpointed(
-        rows.select("key", "hint", "n", sign.alias("sign", "pattern"))
-        .unionByName(rows.where("family is not null").select("key", "hint", "n", F.lit("family").alias("sign"), part.alias("pattern")))
-        .where("pattern is not null and pattern <> ''")
-        .select("key", "n", "sign", F.concat_ws("\x01", "hint", "sign", "pattern").alias("pattern"))
-        .distinct()
-    )
-    labelled = rows.select(
-        "key", "hint", "seed", "shape", "n",
-        F.when(F.col("seed").isin("name", "phone", "email", "address"), 1.0).otherwise(0.0).alias("first"),
-        F.when(F.col("seed") == "id_number", 1.0).otherwise(0.0).alias("second"),
-    )
-    scores = labelled
+    rows = found.groupBy(*_FEATURES).agg(F.count(F.lit(1)).alias("n")).withColumn("key", _key())
+    state = checkpointed(rows.withColumns({
+        "first": F.when(F.col("seed").isin("name", "phone", "email", "address"), 1.0).otherwise(0.0),
+        "second": F.when(F.col("seed") == "id_number", 1.0).otherwise(0.0),
+    }))
+    columns = state.columns
     for _ in range(ROUNDS):
-        # only instances that are taken as right speak for a pattern
-        right = [F.when(F.col(c) >= ACCEPT, F.col(c)).otherwise(0.0) for c in ("first", "second")]
-        weighed = edges.join(scores.select("key", right[0].alias("a"), right[1].alias("b")), "key")
         doubt = F.sum(F.col("n") * (1 - F.greatest("a", "b"))) * DOUBT + 0.5
         share = lambda mine, other: F.sum(F.col(mine) * F.col("n")) / (F.sum(F.col(mine) * F.col("n")) + F.sum(F.col(other) * F.col("n")) + doubt)
-        patterns = checkpointed(weighed.groupBy("pattern").agg(share("a", "b").alias("pa"), share("b", "a").alias("pb"), F.count(F.lit(1)).alias("rows")))
-        felt = join_split(edges, patterns, "pattern", "rows", "key")
-        of = lambda e, c: F.coalesce(F.max(F.when(F.col("sign") == e, F.col(c))), F.lit(0.0))
-        each = felt.groupBy("key").agg(*[of(e, c).alias(f"{e}_{c}") for e in _EDGES for c in ("pa", "pb")])
+        patterns = checkpointed(_edges(state).groupBy("sign", "pattern").agg(share("a", "b").alias("pa"), share("b", "a").alias("pb"), F.count(F.lit(1)).alias("rows")))
 
         def combined(c: str) -> Column:
             miss = F.lit(1.0)
@@ -271,15 +291,13 @@ def scored(found: DataFrame) -> DataFrame:
             known = F.sqrt(F.col(f"given_{c}") * F.col(f"family_{c}"))
             return 1 - miss * (1 - F.greatest(known, GIVEN_ALONE * F.col(f"given_{c}")))
 
-        new = labelled.join(each, "key", "left")
         # a number of a shape that is never of the kind is damped
         damp = {c: F.when(F.col("hint") == "number", F.least(F.lit(1.0), UNSEEN_SHAPE + 3 * F.col(f"shape_{c}"))).when(F.col("shape") == "calendar", CALENDAR).otherwise(1.0) for c in ("pa", "pb")}
-        one = {c: F.coalesce(combined(c) * damp[c], F.lit(0.0)) for c in ("pa", "pb")}
+        one = {c: combined(c) * damp[c] for c in ("pa", "pb")}
         seeded = F.col("seed").isNotNull()
-        scores = checkpointed(
-            new.select("key", "hint", "seed", "shape", "n", F.when(seeded, F.col("first")).otherwise(one["pa"]).alias("first"), F.when(seeded, F.col("second")).otherwise(one["pb"]).alias("second"))
-        )
-    return scores.select("key", "first", "second", "n")
+        new = _felt(state, patterns).withColumns({"first": F.when(seeded, F.col("first")).otherwise(one["pa"]), "second": F.when(seeded, F.col("second")).otherwise(one["pb"])})
+        state = checkpointed(new.select(*columns))
+    return state.select("key", "first", "second", "n")
 
 
 def _key() -> Column:

@@ -527,6 +527,7 @@ def test_pattern_graph_without_broadcasts(spark, monkeypatch):
 
     rows, want = pii_documents()
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(skew, "HOT", 3)
     assert {tuple(r) for r in pii.found_values(documents(spark, rows)).collect()} == want
 
