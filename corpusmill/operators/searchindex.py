@@ -23,12 +23,12 @@ from corpusmill.functions.embed import HashEmbedder
 from corpusmill.functions.text import embed_input, snippet
 from corpusmill.operators import bm25, dense, fusion
 from corpusmill.operators.topk import blocks, union
-from corpusmill.session import broadcast_if_small, checkpointed, spread
+from corpusmill.session import BROADCAST_ROWS, broadcast_if_small, checkpointed, spread
 from corpusmill.sources.paths import Folder
 from corpusmill.sources.store import IndexStore
 
-#: Documents to a term bucket of the postings.
-DOCS_PER_BUCKET = 100_000
+#: Documents to a term bucket of the postings, and the most buckets (a folder each).
+DOCS_PER_BUCKET, MOST_BUCKETS = 100_000, 1024
 #: Parts that a bucket's postings are dealt out over.
 SPREAD = 64
 #: Places a dense score is rounded to before it is ranked.
@@ -73,17 +73,31 @@ def _analysed(rows: DataFrame, embedder: Callable[[], Callable]) -> DataFrame:
     return given.mapInArrow(run, schema)
 
 
+def _documents(chunks: DataFrame, embedder: Callable[[], Callable]) -> DataFrame:
+    """(doc, code, metadata, dl, terms, tfs, vector): each document once, by its smallest code.
+
+    Only ids that come back have to meet: where they are few (they are counted), the
+    other rows go from the scan to the index without a shuffle.
+    """
+    parts = ["code", *META, "dl", "terms", "tfs", "vector"]
+    rows = corpus_rows(chunks)
+    once = lambda df: df.groupBy(F.col("id").alias("doc")).agg(F.min(F.struct(*parts)).alias("c")).select("doc", "c.*")
+    again = checkpointed(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    if again.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return once(_analysed(spread(rows), embedder))
+    single = _analysed(spread(rows).join(F.broadcast(again), "id", "left_anti"), embedder).select(F.col("id").alias("doc"), *parts)
+    return single.unionByName(once(_analysed(spread(rows).join(F.broadcast(again), "id", "left_semi"), embedder)))
+
+
 def build_index(chunks: DataFrame, store: IndexStore, fingerprint: str, embedder: Callable[[], Callable] = HashEmbedder, force: bool = False) -> str:
     """Writes documents and postings of a corpus as a new version; gives its name. Equal fingerprints are skipped."""
     spark = chunks.sparkSession
 
     def build(path: str) -> None:
-        parts = ["code", *META, "dl", "terms", "tfs", "vector"]
-        rows = _analysed(spread(corpus_rows(chunks)), embedder)
-        rows.groupBy(F.col("id").alias("doc")).agg(F.min(F.struct(*parts)).alias("c")).select("doc", "c.*").write.parquet(f"{path}/documents")
+        _documents(chunks, embedder).write.parquet(f"{path}/documents")
         documents = spark.read.parquet(f"{path}/documents")
         total = bm25.statistics(documents).first()
-        buckets = 1 + total["n"] // DOCS_PER_BUCKET
+        buckets = min(MOST_BUCKETS, 1 + total["n"] // DOCS_PER_BUCKET)
         posted = documents.select("doc", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("doc", "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
         posted = posted.withColumn("bucket", term_bucket(F.col("term"), buckets))
         # dealt out by document too, so that no term is one task's; sorted, so that a reader skips what it does not ask for

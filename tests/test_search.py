@@ -54,12 +54,16 @@ def test_buckets_change_nothing(spark, tmp_path, monkeypatch):
     from corpusmill.operators import searchindex
 
     got = []
-    for size in (100_000, 1):
+    chunks = corpus(spark).unionAll(corpus(spark, {"a": "another text", "d": "merge"})).unionAll(corpus(spark, {"b": TEXTS["b"]}))
+    for size, few in ((100_000, 200_000), (1, 200_000), (1, 0)):
         monkeypatch.setattr(searchindex, "DOCS_PER_BUCKET", size)
-        store = IndexStore(spark, str(tmp_path / str(size)), "code")
-        build_index(corpus(spark), store, "a" * 12)
-        got.append({tuple(r) for r in SearchIndex.open(spark, store).lexical(asked(spark, "merge hits", "noise"), 5).collect()})
-    assert got[0] == got[1]
+        monkeypatch.setattr(searchindex, "BROADCAST_ROWS", few)
+        store = IndexStore(spark, str(tmp_path / f"{size}-{few}"), "code")
+        build_index(chunks, store, "a" * 12)
+        index = SearchIndex.open(spark, store)
+        assert index.documents().count() == 5
+        got.append(({tuple(r) for r in index.lexical(asked(spark, "merge hits", "noise"), 5).collect()}, {tuple(r) for r in index.dense(asked(spark, "merge hits"), 5).collect()}))
+    assert got[0] == got[1] == got[2] and all(got[0])
 
 
 def test_versions(spark, store):
