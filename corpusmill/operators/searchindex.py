@@ -85,8 +85,8 @@ def _documents(chunks: DataFrame, embedder: Callable[[], Callable]) -> DataFrame
     again = checkpointed(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
     if again.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return once(_analysed(spread(rows), embedder))
-    single = _analysed(spread(rows).join(F.broadcast(again), "id", "left_anti"), embedder).select(F.col("id").alias("doc"), *parts)
-    return single.unionByName(once(_analysed(spread(rows).join(F.broadcast(again), "id", "left_semi"), embedder)))
+    single = _analysed(spread(rows.join(F.broadcast(again), "id", "left_anti")), embedder).select(F.col("id").alias("doc"), *parts)
+    return single.unionByName(once(_analysed(spread(rows.join(F.broadcast(again), "id", "left_semi")), embedder)))
 
 
 def build_index(chunks: DataFrame, store: IndexStore, fingerprint: str, embedder: Callable[[], Callable] = HashEmbedder, force: bool = False) -> str:
