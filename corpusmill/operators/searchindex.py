@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusmill.functions.embed import HashEmbedder
@@ -48,19 +49,19 @@ def corpus_rows(chunks: DataFrame) -> DataFrame:
     return rows.where("id is not null and text is not null").withColumn("code", F.md5(searched_text()))
 
 
-def _analysed(rows: DataFrame, embedder: Callable[[], Callable]) -> DataFrame:
-    """Each row with its length, words, counts and vector in place of its text."""
+def _analysed(rows: DataFrame, embedder: Callable[[], Callable], wanted: Broadcast | None = None) -> DataFrame:
+    """Each row with its length, words (the wanted ones if given), counts and vector in place of its text."""
     given = rows.select("id", "code", *META, searched_text().alias("searched"), embed_input(F.col("text")).alias("embedded"))
     kept = [f for f in given.schema.fields if f.name not in ("searched", "embedded")]
     schema = T.StructType([*kept, *T._parse_datatype_string("dl int, terms array<string>, tfs array<int>, vector array<float>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = embedder()
+        embed, only = embedder(), None if wanted is None else wanted.value
         for batch in batches:
             sizes, terms, tfs = [], [], []
             for text in batch.column(len(kept)).to_pylist():
                 found = bm25.words(text)
-                count = bm25.Counter(found)
+                count = bm25.Counter(found if only is None else [w for w in found if w in only])
                 sizes.append(len(found))
                 terms.append(list(count))
                 tfs.append(list(count.values()))
@@ -73,7 +74,7 @@ def _analysed(rows: DataFrame, embedder: Callable[[], Callable]) -> DataFrame:
     return given.mapInArrow(run, schema)
 
 
-def _documents(chunks: DataFrame, embedder: Callable[[], Callable]) -> DataFrame:
+def documents_of(chunks: DataFrame, embedder: Callable[[], Callable], wanted: Broadcast | None = None) -> DataFrame:
     """(doc, code, metadata, dl, terms, tfs, vector): each document once, by its smallest code.
 
     Only ids that come back have to meet: where they are few (they are counted), the
@@ -84,9 +85,9 @@ def _documents(chunks: DataFrame, embedder: Callable[[], Callable]) -> DataFrame
     once = lambda df: df.groupBy(F.col("id").alias("doc")).agg(F.min(F.struct(*parts)).alias("c")).select("doc", "c.*")
     again = checkpointed(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
     if again.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return once(_analysed(spread(rows), embedder))
-    single = _analysed(spread(rows.join(F.broadcast(again), "id", "left_anti")), embedder).select(F.col("id").alias("doc"), *parts)
-    return single.unionByName(once(_analysed(spread(rows.join(F.broadcast(again), "id", "left_semi")), embedder)))
+        return once(_analysed(spread(rows), embedder, wanted))
+    single = _analysed(spread(rows.join(F.broadcast(again), "id", "left_anti")), embedder, wanted).select(F.col("id").alias("doc"), *parts)
+    return single.unionByName(once(_analysed(spread(rows.join(F.broadcast(again), "id", "left_semi")), embedder, wanted)))
 
 
 def build_index(chunks: DataFrame, store: IndexStore, fingerprint: str, embedder: Callable[[], Callable] = HashEmbedder, force: bool = False) -> str:
@@ -94,7 +95,7 @@ def build_index(chunks: DataFrame, store: IndexStore, fingerprint: str, embedder
     spark = chunks.sparkSession
 
     def build(path: str) -> None:
-        _documents(chunks, embedder).write.parquet(f"{path}/documents")
+        documents_of(chunks, embedder).write.parquet(f"{path}/documents")
         documents = spark.read.parquet(f"{path}/documents")
         total = bm25.statistics(documents).first()
         buckets = min(MOST_BUCKETS, 1 + total["n"] // DOCS_PER_BUCKET)

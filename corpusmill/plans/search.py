@@ -28,12 +28,17 @@ def corpus(spark: SparkSession, d: str) -> SearchIndex:
     return SearchIndex.open(spark, store)
 
 
-def questions(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
-    """(q, question)"""
-    gold = table(spark, d, "gold").where(F.col("question").isNotNull() & (F.col("gold_id") % every == 0))
+def all_questions(spark: SparkSession, d: str) -> DataFrame:
+    """(q, question) of the whole gold table."""
+    gold = table(spark, d, "gold").where("question is not null and gold_id is not null")
     return gold.groupBy(F.col("gold_id").alias("q")).agg(F.min("question").alias("question"))
 
 
+def questions(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
+    """(q, question) of a search."""
+    return all_questions(spark, d).where(F.col("q") % every == 0)
+
+
 def lexical(spark: SparkSession, d: str, k: int = 20, every: int = EVERY) -> DataFrame:
     return corpus(spark, d).lexical(questions(spark, d, every), k)
 
