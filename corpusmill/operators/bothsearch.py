@@ -297,6 +297,11 @@ class BothSearch:
 
     def legs(self, k: int, block: int = BLOCK) -> dict[str, DataFrame]:
         """(q, doc, rank) of each leg over both corpora, written once."""
+        best = checkpointed(self.best(k, block))
+        return {leg: best.select("q", F.posexplode(leg).alias("at", "best")).select("q", "best.doc", (F.col("at") + 1).alias("rank")) for leg in LEGS}
+
+    def best(self, k: int, block: int = BLOCK) -> DataFrame:
+        """(q, legs): the k best of each question and leg in order, as (score, doc)."""
         sums = self.documents.groupBy("kept").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).collect()
         counts = self.documents.select("kept", F.explode("terms").alias("t")).groupBy("kept", "t").agg(F.count(F.lit(1)).alias("n")).collect()  # the questions' words
         sides, totals, df = {"all": (True, False), "kept": (True,)}, {}, {}
@@ -315,8 +320,7 @@ class BothSearch:
         if not found:
             found = [_best(rows.limit(0), [], q_type, totals, df, k)]
         best = lambda leg: F.slice(F.sort_array(F.flatten(F.collect_list(leg)), False), 1, k).alias(leg)  # noqa: E731  k of each partition
-        merged = checkpointed(union(found).groupBy("q").agg(*[best(leg) for leg in LEGS]))
-        return {leg: merged.select("q", F.posexplode(leg).alias("at", "best")).select("q", "best.doc", (F.col("at") + 1).alias("rank")) for leg in LEGS}
+        return union(found).groupBy("q").agg(*[best(leg) for leg in LEGS])
 
     def metadata(self, ids: DataFrame) -> DataFrame:
         """(doc, file, symbol, start_line, end_line, language) of some documents."""
@@ -324,7 +328,30 @@ class BothSearch:
 
     def hybrid(self, k: int, pool: int = fusion.POOL) -> tuple[DataFrame, DataFrame]:
         """(q, doc, file, symbol) over the whole corpus and over the part: both legs, fusion, one row per file and symbol, written once."""
-        legs = self.legs(pool)
-        fused = [checkpointed(fusion.fuse(legs[f"dense_{side}"], legs[f"lexical_{side}"]).select("q", "doc", "rank")) for side in ("all", "kept")]
-        found = [fusion.diverse(rows, self.metadata(rows), k).select("q", "doc", "file", "symbol") for rows in fused]
-        return checkpointed(found[0]), checkpointed(found[1])
+        fused = _fused(self.best(pool)).select(F.struct("q", "kept").alias("q"), "doc", "rank")
+        found = fusion.diverse(fused, self.documents.select("doc", "file", "symbol"), k).select("q.q", "q.kept", "doc", "file", "symbol")
+        found = checkpointed(found)
+        return found.where("not kept").drop("kept"), found.where("kept").drop("kept")
+
+
+def _fused(best: DataFrame) -> DataFrame:
+    """(q, kept, doc, rank): fusion.fuse where a question's legs stand in one row."""
+    schema = T.StructType([best.schema["q"], *T._parse_datatype_string("kept boolean, doc string, rank int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = lambda rank: 1.0 / (fusion.RRF_K + rank) if rank else 0.0
+        for batch in batches:
+            at, kept, docs, ranks = [], [], [], []
+            for side, names in ((False, LEGS[:2]), (True, LEGS[2:])):
+                legs = [batch.column(leg).to_pylist() for leg in names]
+                for row, (a, b) in enumerate(zip(*legs)):
+                    a, b = ({x["doc"]: r for r, x in enumerate(leg, 1)} for leg in (a, b))
+                    order = sorted(a | b, key=lambda d: (-(part(a.get(d)) + part(b.get(d))), a.get(d, math.inf), b.get(d, math.inf)))
+                    at += [row] * len(order)
+                    kept += [side] * len(order)
+                    docs += order
+                    ranks += range(1, len(order) + 1)
+            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(kept, pa.bool_()), pa.array(docs, pa.string()), pa.array(ranks, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return best.mapInArrow(run, schema)
