@@ -2,12 +2,12 @@
 
 Each text is read once, into the words that any question asks for and a vector.
 A pass over these answers a block of questions for both corpora: a partition is
-streamed in sorted order, in batches that double, and each question's running k
-best decide what of the next batch is looked at. Vectors are multiplied in short
-floats and whatever comes near the k-th best is scored again exactly. Of the
-postings only those of a question's rarest words are taken, as many words as it
-needs until all others together, at their most in the batch, stay below the k-th
-best; where these words are in most documents, all documents are scored.
+streamed in sorted order, and each question's running k best decide what of a
+batch is looked at; a sample of the documents, searched first, gives them a start.
+A score is a sum of what the question's words, or the dimensions of its vector,
+add to each document of a batch. These columns are kept in whole numbers, rounded
+up; questions with common words stand together, so that most of a sum is that of
+the question before. Whatever reaches the k-th best is scored again exactly.
 
 Defined results: those of SearchIndex.lexical and dense, over all documents and
 over the kept ones with weights and lengths of their own; as in the SQL, vectors
@@ -19,12 +19,12 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions.embed import DIM, HashEmbedder
@@ -35,29 +35,31 @@ from corpusmill.operators.topk import blocks, union
 from corpusmill.session import broadcast_if_small, checkpoint_folder, checkpointed
 
 #: Questions that one pass over the documents answers.
-BLOCK = 32_768
+BLOCK = 131_072
 #: Documents of the first and of the largest batch of a partition, and the most of a partition.
-FIRST, MOST, PART = 512, 16_384, 500_000
-#: Questions and documents of one product of matrices.
-TILE_QUESTIONS, TILE_DOCUMENTS = 1024, 2048
-#: Up to so many pairs of a word's documents and questions are listed, not multiplied.
-LISTED = 4000
-#: Share of a batch's documents from which a question is scored against all of them.
-MOST_OF_ALL = 0.7
-#: What short floats may be off: of a cosine, and of a BM25 score in parts of it.
-COSINE_SLACK, SCORE_SLACK = 1e-5, 2e-5
+FIRST, MOST, PART = 32, 16_384, 500_000
+#: Documents whose scores tell what a question's best have at least, on the driver and in each task for a short time.
+SAMPLE = 8192
+#: Questions whose sums are looked through at once, and documents of one sum.
+TILE_QUESTIONS, TILE_DOCUMENTS = 64, 16_384
+#: A word of more documents of a batch, or of a larger share of them, has a column of all; of others they are listed.
+LISTED, MOST_OF_ALL = 400, 0.2
+#: Columns that are kept at once, and pairs that are scored at once.
+COLUMNS, SCORED = 2000, 50_000
+#: What short floats and rounding may be off: of a cosine, and of a BM25 score in parts of it.
+COSINE_SLACK, SCORE_SLACK = 1e-5, 2e-6
 LEGS = ("dense_all", "lexical_all", "dense_kept", "lexical_kept")
 
 
 class Top:
-    """The k best (score, place) of each question; ties go to the larger place."""
+    """The k best (score, place) of each question, of those that reach its floor if given; ties go to the larger place."""
 
-    def __init__(self, questions: int, k: int):
-        self.k = k
+    def __init__(self, questions: int, k: int, floor: np.ndarray | None = None):
+        self.k, self.floor = k, np.full(questions, -np.inf) if floor is None else floor
         self.score, self.place = np.full((questions, k), -np.inf), np.full((questions, k), -1, np.int64)
 
     def least(self) -> np.ndarray:
-        return self.score[:, -1]
+        return np.maximum(self.score[:, -1], self.floor)
 
     def add(self, q: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
         """Distinct pairs."""
@@ -76,165 +78,224 @@ class Top:
         self.score[q[best], at[best]], self.place[q[best], at[best]] = score[best], place[best]
 
 
-def _near(scores: np.ndarray, least: np.ndarray, k: int, slack: float, relative: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the scores that may be among the k best of their row."""
-    hit = scores >= least[:, None]
-    if scores.shape[1] > k and np.count_nonzero(hit) > 4 * k * len(scores):
-        kth = np.partition(scores, -k, axis=1)[:, -k]
-        # scores of nought may be no hits
-        kth = np.where(kth > slack, kth - (slack * kth if relative else slack), -np.inf)
-        hit = scores >= np.maximum(least, kth)[:, None]
-    return np.divmod(np.flatnonzero(hit), scores.shape[1])
+class Walk:
+    """Questions as sets of items, in an order in which questions that begin with the same items stand together."""
+
+    def __init__(self, items: list[list]):
+        often = Counter(x for own in items for x in own)
+        # the items that most questions have come first, so sums of them are kept from question to question
+        paths = [sorted(own, key=lambda x: (-often[x], x)) for own in items]
+        self.order = sorted((q for q, path in enumerate(paths) if path), key=lambda q: [(-often[x], x) for x in paths[q]])
+        self.paths = [paths[q] for q in self.order]
+        self.shared = [0]
+        for one, two in zip(self.paths, self.paths[1:]):
+            self.shared.append(next((d for d, (x, y) in enumerate(zip(one, two)) if x != y), min(len(one), len(two))))
+        self.deepest = max(map(len, self.paths), default=0)
+        self.order = np.array(self.order, np.int64)
+
+    def reach(self, room: np.ndarray, least: np.ndarray, kind: type, rows: int, column: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """(question, row) whose items add up to the question's least.
+
+        room: up to how many steps to 1 a question's sums stay in range of the whole
+        numbers of this kind. column(item, steps) gives what an item adds at each row, in
+        steps rounded up; or (rows, values) of the few where it adds something.
+        """
+        sizes, high = np.floor(np.log2(np.maximum(room, 1e-30)) / 4), np.iinfo(kind).max
+        found = []
+        for size in np.unique(sizes[self.order]):
+            steps, mine = 2.0 ** (4 * size), sizes[self.order] == size
+            levels = np.clip(np.floor(least[self.order] * steps), -high - 1 if kind is np.int16 else 1, high).astype(kind)
+            for d in range(0, rows, TILE_DOCUMENTS):
+                tile = slice(d, min(d + TILE_DOCUMENTS, rows))
+                for q, row in self._tile(mine, levels, kind, tile.stop - d, lambda x: column(x, steps, tile)):
+                    found.append((q, row + d))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _tile(self, mine: np.ndarray, levels: np.ndarray, kind: type, rows: int, column: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own, sums = np.empty((self.deepest + 1, rows), kind), [np.zeros(rows, kind)] + [None] * self.deepest
+        # looked through eight at once
+        hit, asked, columns, same = np.zeros((TILE_QUESTIONS, -(-rows // 8) * 8), bool), [], {}, 0
+        add, reached = np.add, np.greater_equal
+        for at, (path, shared) in enumerate(zip(self.paths, self.shared)):
+            same = min(same, shared)
+            if not mine[at]:
+                continue
+            for d in range(same, len(path)):
+                x = path[d]
+                if x not in columns:
+                    if len(columns) >= COLUMNS:
+                        columns.clear()
+                    columns[x] = column(x)
+                one = columns[x]
+                if type(one) is not tuple:
+                    sums[d + 1] = add(sums[d], one, out=own[d + 1]) if d else one
+                elif len(one[0]):
+                    own[d + 1] = sums[d]
+                    own[d + 1][one[0]] += one[1]
+                    sums[d + 1] = own[d + 1]
+                else:
+                    sums[d + 1] = sums[d]
+            same = len(path)
+            reached(sums[same], levels[at : at + 1], out=hit[len(asked), :rows])
+            asked.append(at)
+            if len(asked) == TILE_QUESTIONS:
+                yield self._hits(hit, asked)
+                asked = []
+        if asked:
+            yield self._hits(hit[: len(asked)], asked)
+
+    def _hits(self, hit: np.ndarray, asked: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        eights = np.flatnonzero(hit.reshape(-1).view(np.uint64) != 0)
+        one, of = np.divmod(np.flatnonzero(hit.reshape(-1, 8)[eights]), 8)
+        at, row = np.divmod(eights[one] * 8 + of, hit.shape[1])
+        return self.order[np.array(asked)[at]], row
 
 
 class Vectors:
     """The dense leg of a block of questions."""
 
     def __init__(self, texts: list[str], k: int):
-        self.at, self.unit = dense.unit_rows(pa.array(list(HashEmbedder()(texts)), pa.list_(pa.float64())), DIM)
-        self.short, self.k = self.unit.astype(np.float32), k
+        sums = HashEmbedder().sums(texts)
+        self.norm, self.k = np.sqrt(np.einsum("ij,ij->i", sums, sums)), k
+        self.unit = sums / np.where(self.norm > 0, self.norm, 1.0)[:, None]
+        items: list[list] = [[] for _ in texts]
+        for q, b in zip(*(x.tolist() for x in np.nonzero(sums))):
+            items[q].append((b, int(sums[q, b])))
+        self.walk, self.terms = Walk(items), np.array([len(x) for x in items])
 
     def add(self, column: pa.Array, kept: np.ndarray, first: int, every: Top, part: Top) -> None:
         at, unit = dense.unit_rows(column, DIM)
-        for side in (True, False):
-            rows = np.flatnonzero(kept[at] == side)
-            least = every.least()[self.at]
-            if side:
-                least = np.minimum(least, part.least()[self.at])
-            least = (least - COSINE_SLACK).astype(np.float32)
-            mine, found = unit[rows].astype(np.float32), []
-            for d in range(0, len(rows), TILE_DOCUMENTS):
-                for q in range(0, len(self.at), TILE_QUESTIONS):
-                    a, b = _near(self.short[q : q + TILE_QUESTIONS] @ mine[d : d + TILE_DOCUMENTS].T, least[q : q + TILE_QUESTIONS], self.k, COSINE_SLACK, False)
-                    found.append((a + q, b + d))
-            if not found:
-                continue
-            asked, near = (np.concatenate(x) for x in zip(*found))
-            scores = np.empty(len(asked))
-            for c in range(0, len(asked), 100_000):
-                s = slice(c, c + 100_000)
-                scores[s] = np.einsum("ij,ij->i", self.unit[asked[s]], unit[rows[near[s]]])
-            scores, good = np.round(scores, DENSE_PLACES) + 0.0, np.ones(len(asked), bool)
+        if not len(at):
+            return
+        by_dimension = np.ascontiguousarray(unit.T)
+        least = (np.minimum(every.least(), part.least()) - COSINE_SLACK) * np.maximum(self.norm, 1e-30)
+        # no sum of a question's items is longer than its vector
+        room = (np.iinfo(np.int16).max - 1.0 - self.terms) / np.maximum(self.norm, 1e-30)
+        asked, near = self.walk.reach(room, least, np.int16, len(at), lambda x, steps, tile: np.ceil(by_dimension[x[0], tile] * (x[1] * steps)).astype(np.int16))
+        for c in range(0, len(asked), SCORED):
+            q, row = asked[c : c + SCORED], near[c : c + SCORED]
+            a, b = self.unit[q], unit[row]
+            scores = np.round(np.einsum("ij,ij->i", a, b), DENSE_PLACES) + 0.0
+            good = np.ones(len(q), bool)
             none = np.flatnonzero(scores == 0)
-            for c in range(0, len(none), 100_000):
-                s = none[c : c + 100_000]
-                good[s] = ((self.unit[asked[s]] != 0) & (unit[rows[near[s]]] != 0)).any(axis=1)
-            for top in (every, part) if side else (every,):
-                top.add(self.at[asked[good]], first + at[rows[near[good]]], scores[good])
+            good[none] = ((a[none] != 0) & (b[none] != 0)).any(axis=1)
+            every.add(q[good], first + at[row[good]], scores[good])
+            good &= kept[at[row]]
+            part.add(q[good], first + at[row[good]], scores[good])
 
 
 class Words:
     """The lexical leg of a block of questions over one of the two corpora."""
 
     def __init__(self, counts: list[Counter], n: int, avgdl: float, df: dict[str, int], k: int):
-        self.k, self.mean = k, avgdl or 1.0
-        known = sorted({t for c in counts for t in c if df.get(t)}, key=lambda t: (df[t], t))
-        self.names, self.none = pa.array(known, pa.string()), len(known)
-        place = {t: at for at, t in enumerate(known)}
-        idf = [math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in known]
-        own = [sorted((place[t], m) for t, m in c.items() if t in place) for c in counts]
-        # a question's words, the rarest first; places that are left name no word
-        width = max([len(o) for o in own], default=0)
-        self.term, self.weight = np.full((len(own), width), self.none, np.int64), np.zeros((len(own), width))
-        for row, weights, words in zip(self.term, self.weight, own):
-            for at, (t, m) in enumerate(words):
-                row[at], weights[at] = t, m * idf[t]
+        self.counts, self.n, self.df, self.k, self.mean = counts, n, df, k, avgdl or 1.0
+
+    def idf(self, word: str) -> float:
+        df = self.df.get(word, 0)
+        return math.log(1 + (self.n - df + 0.5) / (df + 0.5)) if df else 0.0
 
     def add(self, batch: pa.RecordBatch, rows: np.ndarray, first: int, top: Top) -> None:
         """Some rows of a batch with dl, terms and tfs."""
-        if not len(rows) or not self.none:
+        if not hasattr(self, "alone"):
+            self.alone = Lexical([self])
+        there = np.zeros(batch.num_rows, bool)
+        there[rows] = True
+        self.alone.add(batch, [there], first, [top])
+
+
+class Lexical:
+    """The lexical legs of a block of questions, whose candidates are found together."""
+
+    def __init__(self, sides: list[Words]):
+        counts = sides[0].counts
+        names = sorted({t for c in counts for t in c if any(w.df.get(t) for w in sides)})
+        place = {t: at for at, t in enumerate(names)}
+        self.sides, self.names, self.none = sides, pa.array(names, pa.string()), len(names)
+        self.idf = np.array([[w.idf(t) for t in names] + [0.0] for w in sides])
+        own = [[(place[t], m) for t, m in c.items() if t in place] for c in counts]
+        width = max(map(len, own), default=0)
+        # places that are left name no word
+        self.term, self.times = np.full((len(own), width), self.none, np.int64), np.zeros((len(own), width))
+        for row, times, words in zip(self.term, self.times, own):
+            for at, (t, m) in enumerate(words):
+                row[at], times[at] = t, m
+        self.walk, self.terms = Walk(own), (self.times > 0).sum(axis=1)
+
+    def _parts(self, side: int, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * dl / self.sides[side].mean))
+
+    def add(self, batch: pa.RecordBatch, there: list[np.ndarray], first: int, tops: list[Top]) -> None:
+        """there: for each side, which rows of the batch it has."""
+        rows, terms = batch.num_rows, batch.column("terms")
+        if not rows or not self.none:
             return
-        batch = batch.take(pa.array(rows)) if len(rows) < batch.num_rows else batch
-        terms = batch.column("terms")
         term = pc.fill_null(pc.index_in(terms.flatten(), value_set=self.names), self.none).to_numpy(zero_copy_only=False).astype(np.int64)
         tf = batch.column("tfs").flatten().to_numpy(zero_copy_only=False).astype(float)
-        row = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
-        dl = batch.column("dl").to_numpy(zero_copy_only=False).astype(float)[row]
-        part = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * dl / self.mean))
+        row = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+        dl = batch.column("dl").to_numpy(zero_copy_only=False).astype(float)
         hit = term < self.none
-        order = np.lexsort((term[hit], row[hit]))
-        self.row, self.of, self.part = row[hit][order], term[hit][order], part[hit][order]
-        if not len(self.row):
+        if not hit.any():
             return
-        self.keys = self.row * (self.none + 1) + self.of
-        self.starts = np.searchsorted(self.row, np.arange(len(rows) + 1))
-        by_term = np.argsort(self.of, kind="stable")
-        posted = self.row[by_term]
-        begins = np.searchsorted(self.of[by_term], np.arange(self.none + 2))
+        term, tf, row = term[hit], tf[hit], row[hit]
+        order = np.argsort(term * rows + row)
+        term, tf, row = term[order], tf[order], row[order]
+        most, worth = np.zeros(self.none + 1), np.zeros(len(term))
+        for side, here in enumerate(there):
+            worth = np.maximum(worth, np.where(here[row], self.idf[side][term] * self._parts(side, tf, dl[row]), 0.0))
+        np.maximum.at(most, term, worth)
+        begins = np.searchsorted(term, np.arange(self.none + 2))
         df = np.diff(begins)
-        most = np.zeros(self.none + 1)
-        here = np.flatnonzero(df)
-        most[here] = np.maximum.reduceat(self.part[by_term], begins[here])
-        # what the words from each on can give at most; a document of none before them has no more
-        rest = np.cumsum((self.weight * most[self.term])[:, ::-1], axis=1)[:, ::-1] * (1 + SCORE_SLACK)
-        self.least = np.maximum(top.least() * (1 - SCORE_SLACK), 1e-10)
-        needed = rest >= self.least[:, None]
-        load = (df[self.term] * needed).sum(axis=1)
-        all_of_them = load > MOST_OF_ALL * len(rows)
-        q, j = np.nonzero(needed & (df[self.term] > 0) & ~all_of_them[:, None])
-        t = self.term[q, j]
-        order = np.argsort(t, kind="stable")
-        q, t = q[order], t[order]
-        found = []
-        pairs = np.bincount(t, df[t], self.none + 1)[t]  # of each word's documents and questions
-        few = pairs <= LISTED
-        if few.any():
-            each = df[t[few]]
-            at = np.repeat(begins[t[few]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-            found.append((np.repeat(q[few], each), posted[at]))
-        q, t = q[~few], t[~few]
-        cuts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else []
-        for a, b in zip(cuts, [*cuts[1:], len(t)]):
-            found += self._product(q[a:b], posted[begins[t[a]] : begins[t[a] + 1]])
-        whole = np.flatnonzero(all_of_them)
-        # questions of like words stand together
-        found += self._product(whole[np.lexsort(self.term[whole].T)] if len(whole) else whole, np.arange(len(rows)))
-        if not found:
-            return
-        asked, near = (np.concatenate(x) for x in zip(*found))
-        pair = np.unique(asked * len(rows) + near)
-        asked, near = np.divmod(pair, len(rows))
-        scores = self._exact(asked, near)
-        good = scores > 0
-        top.add(asked[good], first + rows[near[good]], scores[good])
-
-    def _exact(self, q: np.ndarray, row: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(q))
-        for c in range(0, len(q), 100_000):
-            s = slice(c, c + 100_000)
-            for j in range(self.term.shape[1]):
-                key = row[s] * (self.none + 1) + self.term[q[s], j]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                out[s] += np.where(self.keys[at] == key, self.weight[q[s], j] * self.part[at], 0.0)
-        return np.round(out, bm25.PLACES)
-
-    def _product(self, questions: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(question, row) of the scores near the best, by products of matrices over the words of some questions."""
-        found, column = [], np.full(self.none + 1, -1, np.int64)
-        for c in range(0, len(questions), TILE_QUESTIONS):
-            asked = questions[c : c + TILE_QUESTIONS]
-            term = self.term[asked]
-            words = np.unique(term[term < self.none])
-            column[words] = np.arange(len(words))
-            at, j = np.nonzero(term < self.none)
-            weight = np.zeros((len(asked), len(words)), np.float32)
-            weight[at, column[term[at, j]]] = self.weight[asked[at], j]
-            least = self.least[asked].astype(np.float32)
-            for d in range(0, len(rows), TILE_DOCUMENTS):
-                mine = rows[d : d + TILE_DOCUMENTS]
-                each = self.starts[mine + 1] - self.starts[mine]
-                posts = np.repeat(self.starts[mine] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-                into, of = np.repeat(np.arange(len(mine)), each), column[self.of[posts]]
-                parts = np.zeros((len(mine), len(words)), np.float32)
-                parts[into[of >= 0], of[of >= 0]] = self.part[posts[of >= 0]]
-                a, b = _near(weight @ parts.T, least, self.k, SCORE_SLACK, True)
-                found.append((asked[a], mine[b]))
-            column[words] = -1
-        return found
-
-
-def _growing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size, held, rows = FIRST, [], 0
+        # a word of many documents has a table row, the others their list
+        wide = np.flatnonzero((df > LISTED) | (df > MOST_OF_ALL * rows))
+        line = np.full(self.none + 1, -1, np.int64)
+        line[wide] = np.arange(len(wide))
+        table, values = np.zeros((len(wide), rows), np.int32), np.zeros((len(wide), rows), np.float32)
+        tall = line[term] >= 0
+        table[line[term[tall]], row[tall]] = tf[tall]
+        # a little over, so that a short float is no less
+        values[line[term[tall]], row[tall]] = worth[tall] * (1 + SCORE_SLACK)
+
+        def column(item, steps, tile):
+            t, m = item
+            if line[t] >= 0:
+                return np.ceil(values[line[t], tile] * np.float32(m * steps)).astype(np.uint16)
+            a, b = begins[t], begins[t + 1]
+            if (tile.start, tile.stop) != (0, rows):
+                a, b = a + np.searchsorted(row[a:b], [tile.start, tile.stop])
+            return row[a:b] - tile.start, np.ceil(worth[a:b] * (m * steps)).astype(np.uint16)
+
+        high = (self.times * most[self.term]).sum(axis=1) * (1 + 2 * SCORE_SLACK)
+        room = (np.iinfo(np.uint16).max - 1.0 - self.terms) / np.maximum(high, 1e-3)
+        least = np.min([top.least() for top in tops], axis=0) - 1e-8
+        asked, near = self.walk.reach(room, least, np.uint16, rows, column)
+        keys = term[~tall] * rows + row[~tall]
+        few = np.r_[tf[~tall], 0.0]
+        for c in range(0, len(asked), SCORED):
+            q, at = asked[c : c + SCORED], near[c : c + SCORED]
+            scores = np.zeros((len(self.sides), len(q)))
+            for j in range(int(self.terms[q].max(initial=0))):
+                t = self.term[q, j]
+                count = np.zeros(len(q))
+                listed = line[t] < 0
+                some = np.flatnonzero(~listed)
+                count[some] = table[line[t[some]], at[some]]
+                if len(keys):
+                    some = np.flatnonzero(listed & (t < self.none))
+                    key = t[some] * rows + at[some]
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    count[some] = np.where(keys[place] == key, few[place], 0.0)
+                some = np.flatnonzero(count)
+                for side in range(len(self.sides)):
+                    scores[side, some] += self.times[q[some], j] * self.idf[side][t[some]] * self._parts(side, count[some], dl[at[some]])
+            for score, here, top in zip(np.round(scores, bm25.PLACES), there, tops):
+                good = (score > 0) & here[at]
+                top.add(q[good], first + at[good], score[good])
+
+
+def _growing(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
     for batch in batches:
         while batch.num_rows:
             some = batch.slice(0, size - rows)
@@ -248,24 +309,49 @@ def _growing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _best(documents: DataFrame, asked: list, q_type: T.DataType, totals: dict, df: dict, k: int) -> DataFrame:
+def _searched(batches: Iterator[pa.RecordBatch], texts: list[str], totals: dict, df: dict, k: int, floors: np.ndarray | None = None) -> tuple[dict[str, Top], list]:
+    """The k best of each question and leg, and the documents that their places are of."""
+    counts = [Counter(bm25.words(t)) for t in texts]
+    vectors, words = Vectors(texts, k), Lexical([Words(counts, *totals[side], df[side], k) for side in ("all", "kept")])
+    tops, docs, first = {leg: Top(len(texts), k, None if floors is None else floors[:, at]) for at, leg in enumerate(LEGS)}, [], 0
+    for batch in _growing(batches, FIRST if floors is None else MOST // 4):
+        kept = batch.column("kept").to_numpy(zero_copy_only=False)
+        vectors.add(batch.column("vector"), kept, first, tops["dense_all"], tops["dense_kept"])
+        words.add(batch, [np.ones(len(kept), bool), kept], first, [tops["lexical_all"], tops["lexical_kept"]])
+        docs.append(batch.column("doc"))
+        first += batch.num_rows
+    return tops, docs
+
+
+def _floors(sample: pa.Table, spark: SparkSession, texts: list[str], totals: dict, df: dict, k: int) -> np.ndarray:
+    """What each leg's k-th best has at least, by question: that of some documents, the questions dealt out over all tasks."""
+    like = np.array(sorted(range(len(texts)), key=texts.__getitem__))
+    parts = spark.sparkContext.defaultParallelism
+    dealt = spark.sparkContext.broadcast((sample, texts, totals, df))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample, texts, totals, df = dealt.value
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                mine = np.array_split(like, parts)[part]
+                tops, _ = _searched(iter(sample.to_batches()), [texts[q] for q in mine], totals, df, k)
+                yield pa.RecordBatch.from_arrays([pa.array(mine), *[pa.array(tops[leg].least()) for leg in LEGS]], names=["at", *LEGS])
+
+    found = spark.range(0, parts, 1, parts).mapInArrow(run, "at bigint, " + ", ".join(f"{leg} double" for leg in LEGS)).toArrow()
+    out = np.empty((len(texts), len(LEGS)))
+    out[found.column("at").to_numpy()] = np.stack([found.column(leg).to_numpy() for leg in LEGS], axis=1)
+    dealt.unpersist()
+    return out - COSINE_SLACK
+
+
+def _best(documents: DataFrame, asked: list, q_type: T.DataType, totals: dict, df: dict, k: int, floors: np.ndarray | None = None) -> DataFrame:
     """(q, legs): of each partition the k best of each question and leg, as (score, doc)."""
     names, texts = [r[0] for r in asked], [r[1] for r in asked]
     item = pa.struct([("score", pa.float64()), ("doc", pa.string())])
     arrow_q = to_arrow_type(q_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter(bm25.words(t)) for t in texts]
-        vectors = Vectors(texts, k)
-        words = {side: Words(counts, *totals[side], df[side], k) for side in ("all", "kept")}
-        tops, docs, first = {leg: Top(len(names), k) for leg in LEGS}, [], 0
-        for batch in _growing(batches):
-            kept = batch.column("kept").to_numpy(zero_copy_only=False)
-            vectors.add(batch.column("vector"), kept, first, tops["dense_all"], tops["dense_kept"])
-            words["all"].add(batch, np.arange(batch.num_rows), first, tops["lexical_all"])
-            words["kept"].add(batch, np.flatnonzero(kept), first, tops["lexical_kept"])
-            docs.append(batch.column("doc"))
-            first += batch.num_rows
+        tops, docs = _searched(batches, texts, totals, df, k, floors)
         if not docs:
             return
         doc = pa.chunked_array(docs)
@@ -314,14 +400,24 @@ class BothSearch:
         rows = self.documents.select("doc", "kept", "dl", "terms", "tfs", "vector")
         parts = max(rows.sparkSession.sparkContext.defaultParallelism, 1 + totals["all"][0] // PART)
         rows, found, q_type = rows.coalesce(parts).sortWithinPartitions("doc"), [], self.questions.schema["q"].dataType
+        sample = self._sample(totals["all"][0])
         for asked in blocks(self.questions, block):
             words = {t for r in asked for t in bm25.words(r[1])}
-            found.append(_best(rows, asked, q_type, totals, {side: {t: d[t] for t in words if t in d} for side, d in df.items()}, k))
+            own = {side: {t: d[t] for t in words if t in d} for side, d in df.items()}
+            floors = None if sample is None else _floors(sample, rows.sparkSession, [r[1] for r in asked], totals, own, k)
+            found.append(_best(rows, asked, q_type, totals, own, k, floors))
         if not found:
             found = [_best(rows.limit(0), [], q_type, totals, df, k)]
         best = lambda leg: F.slice(F.sort_array(F.flatten(F.collect_list(leg)), False), 1, k).alias(leg)  # noqa: E731  k of each partition
         return union(found).groupBy("q").agg(*[best(leg) for leg in LEGS])
 
+    def _sample(self, n: int) -> pa.Table | None:
+        """Some documents, if they are few of all."""
+        if n < 4 * SAMPLE:
+            return None
+        rows = self.documents.select("doc", "kept", "dl", "terms", "tfs", "vector")
+        return rows.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_003)) < F.lit(1_000_003 * SAMPLE // n)).limit(2 * SAMPLE).toArrow()
+
     def metadata(self, ids: DataFrame) -> DataFrame:
         """(doc, file, symbol, start_line, end_line, language) of some documents."""
         return self.documents.select("doc", *META).join(broadcast_if_small(ids.select("doc").distinct()), "doc", "left_semi")

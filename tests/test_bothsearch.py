@@ -79,3 +79,34 @@ def test_equals_two_searches_of_the_index(spark, tmp_path):
     # blocks of few questions
     few, many = both.legs(10, block=7), both.legs(10)
     assert all({tuple(r) for r in few[leg].collect()} == {tuple(r) for r in many[leg].collect()} for leg in many)
+
+
+def test_sums_reach_what_they_should():
+    r = np.random.default_rng(6)
+    columns = r.random((12, 100))
+    items = [[(int(b), m + 1) for m, b in enumerate(r.choice(12, r.integers(0, 6), replace=False))] for _ in range(50)]
+    exact = np.array([sum((columns[b] * m for b, m in own), np.zeros(100)) for own in items])
+    least = np.full(50, 4.0)
+    least[7] = -np.inf
+    walk = bothsearch.Walk(items)
+    room = np.where(np.arange(50) % 2 > 0, 60_000, 600) / np.maximum(exact.max(axis=1), 1)  # fine and coarse steps
+
+    def column(x, steps, tile):
+        if x[0] % 3:
+            return np.ceil(columns[x[0], tile] * (x[1] * steps)).astype(np.uint16)
+        return np.arange(tile.stop - tile.start), np.ceil(columns[x[0], tile] * (x[1] * steps)).astype(np.uint16)
+
+    got = set(zip(*(a.tolist() for a in walk.reach(room, least, np.uint16, 100, column))))
+    want = {(q, d) for q, d in zip(*np.nonzero(exact >= least[:, None])) if items[q]}
+    assert want <= got and all(exact[q, d] > least[q] - 1 for q, d in got)
+    # sums are kept from question to question
+    assert sum(len(p) - s for p, s in zip(walk.paths, walk.shared)) < sum(map(len, items))
+
+
+def test_sample_changes_nothing(spark, monkeypatch):
+    rows = [(f"d{k:03}", f"r/{'Views' if k % 4 else 'Kept'}/f{k % 50}.cc", 1, 2, f"s{k % 9}", None, t) for k, t in enumerate(texts(7, 300, 30))]
+    asked = spark.createDataFrame([*enumerate([*texts(8, 40, 9), ""])], "q bigint, question string")
+    both = BothSearch(spark.createDataFrame(rows, CHUNK), F.contains("file", F.lit("Kept")), asked)
+    plain = {tuple(map(str, r)) for r in both.best(10).collect()}
+    monkeypatch.setattr(bothsearch, "SAMPLE", 40)
+    assert both._sample(300).num_rows < 150 and {tuple(map(str, r)) for r in both.best(10, block=15).collect()} == plain
