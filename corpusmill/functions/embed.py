@@ -52,12 +52,17 @@ class HashEmbedder:
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
         """The vectors before they are scaled: whole numbers, which a short float holds exactly."""
-        out = np.zeros((len(texts), DIM))
-        for row, text in zip(out, texts):
-            for word, n in Counter(_TOKEN.findall(text or "")).items():
+        return self.sums_of([Counter(_TOKEN.findall(text or "")) for text in texts])
+
+    def sums_of(self, counts: list[Counter]) -> np.ndarray:
+        """The same of texts whose words are counted already, in any case."""
+        at, add = [], []
+        for row, count in enumerate(counts):
+            for word, n in count.items():
                 bucket, sign = self._feature(word.lower())
-                row[bucket] += sign * n
-        return out
+                at.append(row * DIM + bucket)
+                add.append(sign * n)
+        return np.bincount(np.array(at, np.int64), np.array(add, float), len(counts) * DIM).reshape(len(counts), DIM)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         out = self.sums(texts)

@@ -425,7 +425,9 @@ class BothSearch:
     def hybrid(self, k: int, pool: int = fusion.POOL) -> tuple[DataFrame, DataFrame]:
         """(q, doc, file, symbol) over the whole corpus and over the part: both legs, fusion, one row per file and symbol, written once."""
         fused = _fused(self.best(pool)).select(F.struct("q", "kept").alias("q"), "doc", "rank")
-        found = fusion.diverse(fused, self.documents.select("doc", "file", "symbol"), k).select("q.q", "q.kept", "doc", "file", "symbol")
+        # dealt out by question, which serves the choice within a file and symbol, too
+        rows = fused.join(self.documents.select("doc", "file", "symbol"), "doc").repartition("q")
+        found = fusion.diverse_rows(rows, k).select("q.q", "q.kept", "doc", "file", "symbol")
         found = checkpointed(found)
         return found.where("not kept").drop("kept"), found.where("kept").drop("kept")
 

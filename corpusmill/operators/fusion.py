@@ -39,7 +39,11 @@ def rerank(fused: DataFrame, scores: DataFrame, pool: int = RERANK_POOL) -> Data
 
 def diverse(ranked: DataFrame, meta: DataFrame, k: int) -> DataFrame:
     """The first row of each (q, file, symbol) in rank order, then the first k of each q, ranked anew."""
-    rows = ranked.join(meta, "doc")
+    return diverse_rows(ranked.join(meta, "doc"), k)
+
+
+def diverse_rows(rows: DataFrame, k: int) -> DataFrame:
+    """The same of ranked rows with their file and symbol."""
     first = Window.partitionBy("q", "file", "symbol").orderBy("rank")
     kept = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     order = Window.partitionBy("q").orderBy("rank")

@@ -11,6 +11,7 @@ other leg's order stands; both failing gives no rows; a null language is ''.
 from __future__ import annotations
 
 import json
+import re
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusmill.functions.embed import HashEmbedder
-from corpusmill.functions.text import embed_input, snippet
+from corpusmill.functions.text import EMBED_CHARS, TOKEN, snippet
 from corpusmill.operators import bm25, dense, fusion
 from corpusmill.operators.topk import blocks, union
 from corpusmill.session import BROADCAST_ROWS, broadcast_if_small, checkpointed, spread
@@ -35,6 +36,7 @@ SPREAD = 64
 #: Places a dense score is rounded to before it is ranked.
 DENSE_PLACES = 6
 POSTINGS = "doc string, dl int, term string, tf int, bucket int"
+_TOKEN = re.compile(TOKEN)
 META = ("file", "symbol", "start_line", "end_line", "language")
 
 
@@ -51,24 +53,36 @@ def corpus_rows(chunks: DataFrame) -> DataFrame:
 
 def _analysed(rows: DataFrame, embedder: Callable[[], Callable], wanted: Broadcast | None = None) -> DataFrame:
     """Each row with its length, words (the wanted ones if given), counts and vector in place of its text."""
-    given = rows.select("id", "code", *META, searched_text().alias("searched"), embed_input(F.col("text")).alias("embedded"))
-    kept = [f for f in given.schema.fields if f.name not in ("searched", "embedded")]
+    given = rows.select("id", "code", *META, "text")
+    kept = [f for f in given.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, *T._parse_datatype_string("dl int, terms array<string>, tfs array<int>, vector array<float>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed, only = embedder(), None if wanted is None else wanted.value
+        counts, symbol_at = hasattr(embed, "sums_of"), [f.name for f in kept].index("symbol")
         for batch in batches:
-            sizes, terms, tfs = [], [], []
-            for text in batch.column(len(kept)).to_pylist():
-                found = bm25.words(text)
-                count = bm25.Counter(found if only is None else [w for w in found if w in only])
-                sizes.append(len(found))
+            sizes, terms, tfs, embedded = [], [], [], []
+            # a blank stands between text and symbol, so their words are those of the two
+            for text, symbol in zip(batch.column(len(kept)).to_pylist(), batch.column(symbol_at).to_pylist()):
+                own, more = bm25.Counter(_TOKEN.findall(text)), bm25.words(symbol)
+                count: dict[str, int] = {}
+                for x, n in own.items():
+                    w = x.lower()
+                    if only is None or w in only:
+                        count[w] = count.get(w, 0) + n
+                for w in more:
+                    if only is None or w in only:
+                        count[w] = count.get(w, 0) + 1
+                sizes.append(own.total() + len(more))
                 terms.append(list(count))
                 tfs.append(list(count.values()))
+                short = len(text) <= EMBED_CHARS
+                embedded.append((own if short else bm25.Counter(_TOKEN.findall(text[:EMBED_CHARS]))) if counts else text[:EMBED_CHARS])
             # a search scales the vectors anyway
-            vectors = np.asarray(getattr(embed, "sums", embed)(batch.column(len(kept) + 1).to_pylist()), np.float32)
+            vectors = np.asarray(embed.sums_of(embedded) if counts else embed(embedded), np.float32)
+            ends = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1])
             arrays = [batch.column(k) for k in range(len(kept))]
-            arrays += [pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), pa.array(list(vectors), pa.list_(pa.float32()))]
+            arrays += [pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     return given.mapInArrow(run, schema)
