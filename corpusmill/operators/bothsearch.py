@@ -35,7 +35,7 @@ from corpusmill.operators.topk import blocks, union
 from corpusmill.session import broadcast_if_small, checkpoint_folder, checkpointed
 
 #: Questions that one pass over the documents answers.
-BLOCK = 131_072
+BLOCK = 40_000
 #: Documents of the first and of the largest batch of a partition, and the most of a partition.
 FIRST, MOST, PART = 32, 16_384, 500_000
 #: Documents whose scores tell what a question's best have at least, on the driver and in each task for a short time.
